@@ -31,6 +31,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_token_counts)}
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import make_lexicon, round_trip
+
+    docs, path = _read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")
+    return round_trip(docs, path, lexicon=make_lexicon(docs, path))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_token_counts, op5_bpe_round_trip)}
 
 ORACLES: dict[str, str] = {}
