@@ -38,6 +38,12 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, path, lexicon=make_lexicon(docs, path))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_token_counts, op5_bpe_round_trip)}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_rules
+
+    return quality_rules(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_token_counts, op5_bpe_round_trip, op6_quality_rules)}
 
 ORACLES: dict[str, str] = {}
