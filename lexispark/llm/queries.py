@@ -31,6 +31,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(_read(spark, sf_dir, "documents"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import make_lexicon, round_trip
 
@@ -44,6 +50,31 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_token_counts, op5_bpe_round_trip, op6_quality_rules)}
-
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_token_counts, op4_ngram_join, op5_bpe_round_trip, op6_quality_rules)}
+
+ORACLES: dict[str, str] = {
+    "op4_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct([array_to_string(ws[i : i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS gs
+  FROM w
+), s AS (SELECT doc_id, unnest(gs) AS x, len(gs) AS n FROM g),
+c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, c.b FROM r JOIN c ON r.b = c.a
+)
+SELECT g.doc_id, len(g.gs)::BIGINT AS n_shingles,
+  (SELECT count(*) FROM c WHERE c.a = g.doc_id)::BIGINT AS n_similar,
+  (SELECT min(r.b) FROM r WHERE r.a = g.doc_id)::BIGINT AS component_id
+FROM g
+""",
+}
