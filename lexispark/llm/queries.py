@@ -50,7 +50,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_token_counts, op4_ngram_join, op5_bpe_round_trip, op6_quality_rules)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_token_counts, op4_ngram_join, op5_bpe_round_trip, op6_quality_rules, op9_suffix_dedup)}
 
 ORACLES: dict[str, str] = {
     "op4_ngram_join": r"""
