@@ -106,6 +106,8 @@ def write_token_files(df: DataFrame, path: str, folder: str | None = None, key:
     folder = folder or new_path(spark, "tokens")
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
     key_type = df.schema[key].dataType
+    # two bytes an id where the vocabulary allows, for a smaller exchange
+    narrow = max(words.vocabulary_size(path), end_id or 0) <= 1 << 16
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = words.word_table(path, "ids") if words.splits_at_space(path) else None
@@ -123,7 +125,8 @@ def write_token_files(df: DataFrame, path: str, folder: str | None = None, key:
                         ids = b"".join(map(get, t.split())) + end
                     else:
                         ids = np.array(tok.encode(t.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes() + end
-                    # two bytes an id where the vocabulary allows, for a smaller exchange
+                    if narrow:
+                        ids = np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
                     out.append(ids)
                     size += len(ids)
                     done += 1
@@ -150,7 +153,9 @@ def write_token_files(df: DataFrame, path: str, folder: str | None = None, key:
         w, said = None, []
         for batch in batches:
             parts, keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            for p, k, b in zip(parts, keys, ids.to_pylist()):
+            for p, k, b in zip(parts, keys, (x.as_py() for x in ids)):
+                if narrow:
+                    b = np.frombuffer(b, dtype="<u2").astype("<u4").tobytes()
                 if w is None or w.part != p:
                     if w is not None:
                         said.append(w.close())

@@ -14,7 +14,7 @@ import re
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries that a worker's table holds at most; further words are encoded each time.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 500_000
 
 _loaded: dict[tuple, object] = {}
 
@@ -39,6 +39,12 @@ def load(path: str):
     return got
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id."""
+    tok = load(path)
+    return max(tok.get_vocab(with_added_tokens=True).values()) + 1 if path.endswith(".json") else tok.get_piece_size()
+
+
 def splits_at_space(path: str) -> bool:
     """Whether the file's own settings prove that words are encoded independently.
 
