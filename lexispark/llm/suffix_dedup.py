@@ -7,8 +7,8 @@ hold every pair of places that could match:
 1.  Places.  The least hash among the ``K``-byte strings of each window of
     ``length`` bytes marks a place; equal windows mark equal places, about
     two in ``length - K`` bytes.  Exact copies of a text mark theirs once a
-    task.  A place carries hashes of all its windows' bytes together, and of
-    four cores, of which every window holds one.
+    task.  A place carries hashes of the bytes of all windows that mark it
+    together, and of four cores, of which every window holds one.
 2.  Blocks, which are hash ranges of places, find the places that occur
     twice.  Where all windows around are equal as well, they are repeated.
     A place with a core that another place shares goes on to a shard; any
@@ -95,8 +95,15 @@ def places(buf: np.ndarray, off: np.ndarray, length: int) -> dict[str, np.ndarra
     at = np.flatnonzero((most == h) & (most > 0))
     row = np.searchsorted(off, at, side="right") - 1
     pos = at - off[row]
-    low = np.minimum(w - 1, pos)  # windows begin from -low ...
-    high = np.maximum(0, pos + length - sizes[row])  # ... to -high
+    # the windows that a place marks are one run of equal least hashes
+    run = segments(least)
+    mine = np.minimum(np.searchsorted(run, at, side="right") - 1, len(run) - 2)
+    seek = np.flatnonzero(least[run[mine]] != h[at])
+    while len(seek):
+        mine[seek] -= 1
+        seek = seek[least[run[mine[seek]]] != h[at[seek]]]
+    low = np.minimum(w - 1, at - run[mine])  # they begin from -low ...
+    high = np.maximum(0, at - run[mine + 1] + 1)  # ... to -high
     out = {"row": row, "pos": pos, "h": h[at], "low": low, "high": high}
     out["whole"] = mix(prefix.of(at - low, at - high + length) + (low * 1024 + high).astype(U64))
     edges = np.linspace(0, w, CORES + 1).astype(np.int64)
@@ -301,8 +308,8 @@ def _with_texts(rows: DataFrame, texts: DataFrame, n: int) -> DataFrame:
 
 
 def _bytes_around(stretches: DataFrame, length: int, n_shards: int) -> DataFrame:
-    """The bytes of stretches to compare: (shard, h, cls, start, data); one of
-    hot places is a row with the hashes of its windows, by shard."""
+    """The bytes of stretches to compare: (shard, h, cls, start, data).  The
+    windows of hot places go as packed (hash, class, begin), a row a shard."""
     import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +318,7 @@ def _bytes_around(stretches: DataFrame, length: int, n_shards: int) -> DataFrame
         for batch in batches:
             cls, late, blob, kind, start, end, h = (batch.column(k) for k in range(7))
             cls, late, kind, start, end, h = (c.to_pylist() for c in (cls, late, kind, start, end, h))
-            out = []
+            out, spread = [], []
             for k in range(batch.num_rows):
                 if not late[k]:
                     if cls[k] != now:
@@ -323,10 +330,14 @@ def _bytes_around(stretches: DataFrame, length: int, n_shards: int) -> DataFrame
                         prefix = prefix or Prefix(np.frombuffer(raw, dtype=np.uint8))
                         at = np.arange(start[k], end[k] - length + 1)
                         got = prefix.of(at, at + length)
-                        shard = (got % U64(n_shards)).astype(np.int64)
-                        for s in np.unique(shard).tolist():
-                            mine = shard == s
-                            out.append((s, None, now, None, got[mine].tobytes() + at[mine].astype(np.int32).tobytes()))
+                        spread.append((got, np.full(len(at), now), at))
+            if spread:
+                g, c, p = (np.concatenate([x[j] for x in spread]) for j in range(3))
+                shard = (g % U64(n_shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                g, c, p, shard = g[order], c[order], p[order].astype(np.int32), shard[order]
+                cut = segments(shard).tolist()
+                out += [(int(shard[x]), None, None, None, g[x:y].tobytes() + c[x:y].tobytes() + p[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=["shard", "h", "cls", "start", "data"])
 
     types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -397,8 +408,8 @@ def _compared(around: DataFrame, length: int, n_shards: int) -> DataFrame:
             h, cls, start, data = (batch.column(k).to_pylist() for k in range(1, 5))
             for k in range(batch.num_rows):
                 if h[k] is None:
-                    n = len(data[k]) // 12
-                    hot.append((np.frombuffer(data[k], dtype=U64, count=n), np.full(n, cls[k]), np.frombuffer(data[k], dtype=np.int32, offset=8 * n)))
+                    n = len(data[k]) // 20
+                    hot.append((np.frombuffer(data[k], dtype=U64, count=n), np.frombuffer(data[k], dtype=np.int64, count=n, offset=8 * n), np.frombuffer(data[k], dtype=np.int32, offset=16 * n)))
                     continue
                 if size > SHARD_BYTES and h[k] != last:
                     yield flush()
@@ -498,7 +509,7 @@ def _repeats(df: DataFrame, text: str, length: int, total: int, with_text: bool)
     n_blocks = partitions_for(spark, total * 2 / (length - K) * 48)
     found = table(_found(_marked(df, text, length, n_blocks), length, n_blocks), "places")
     todo = found.where(F.col("kind") != _COVER)
-    load = todo.agg(F.sum(F.when(F.col("kind") == _COMPARE, F.col("end") - F.col("start")).otherwise(12 * (F.col("end") - F.col("start") - length + 1)).cast("long")).alias("b")).first()["b"] or 0
+    load = todo.agg(F.sum(F.when(F.col("kind") == _COMPARE, F.col("end") - F.col("start")).otherwise(20 * (F.col("end") - F.col("start") - length + 1)).cast("long")).alias("b")).first()["b"] or 0
     n_shards = partitions_for(spark, load, 16 << 20)
     n_texts = partitions_for(spark, total / 2)
     wanted = _bits(todo, "cls", BLOOM_BITS)
