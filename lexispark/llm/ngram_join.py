@@ -31,6 +31,7 @@ joins its class, whose component_id is the least key that isn't null.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_table, partitions_for, shuffle_partitions, small_side, table
+from .common import drop_table, shuffle_partitions, small_side, table
 from .components import components
 from .kernels import LOWER, Prefix, U64, mix, ranges, row_of, segments, slices, word_spans
 
 #: 4 * 2 ** SKETCH_BITS bytes: the sketch's fixed size.
 SKETCH_BITS = 20
+#: Bytes of a block's incidences, about.
+BLOCK_BYTES = 32 << 20
 #: Candidate cells of a tile, about.
 TILE_PAIRS = 100_000
 
@@ -220,11 +223,24 @@ def _blocks(df: DataFrame, text: str, n: int, sketch, bits: int, num: int, den:
     return df.select(F.col(text).alias("text")).mapInArrow(run, "block int, h binary, row binary, cls binary, size binary")
 
 
-def _product(blocks: DataFrame, num: int, den: int, n_blocks: int) -> DataFrame:
-    """Non-zero cells (a, b, size_a, size_b, n) of every block's part of the product."""
-
-    def emit(key_a, key_b, size_a, size_b, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key_a), pa.array(key_b), pa.array(size_a.astype(np.int32)), pa.array(size_b.astype(np.int32)), pa.array(n.astype(np.int32))], names=["a", "b", "size_a", "size_b", "n"])
+def _product(blocks: DataFrame, num: int, den: int, n_blocks: int, n_parts: int) -> DataFrame:
+    """Non-zero cells of every block's part of the product, packed by the hash of their row."""
+
+    def emit(i: np.ndarray, j: np.ndarray, n: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        swap = ids[i] > ids[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        part = (mix(ids[i].view(U64).copy()) % U64(n_parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        i, j, n = i[order], j[order], np.minimum(n[order], 65535).astype(np.uint16)
+        cut = np.searchsorted(part[order], np.arange(n_parts + 1)).tolist()
+        out = []
+        for p in range(n_parts):
+            x, y = cut[p], cut[p + 1]
+            if x < y:
+                used, local = np.unique(np.concatenate([i[x:y], j[x:y]]), return_inverse=True)
+                kind = np.uint16 if len(used) < 65536 else np.uint32
+                out.append((p, ids[used].tobytes(), sizes[used].astype(np.int32).tobytes(), local.astype(kind).tobytes(), n[x:y].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "ids", "sizes", "pairs", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, cs, ss = [], [], []
@@ -282,30 +298,52 @@ def _product(blocks: DataFrame, num: int, den: int, n_blocks: int) -> DataFrame:
                 u, inv = np.unique(np.concatenate(held_k), return_inverse=True)
                 n = np.bincount(inv, np.concatenate(held_n)).astype(np.int64)
                 if len(u) > 3_000_000 or k >= len(key):
-                    for q in range(0, len(u), 500_000):
-                        i, j = u[q : q + 500_000] // len(ids), u[q : q + 500_000] % len(ids)
-                        swap = ids[i] > ids[j]
-                        x, y = np.where(swap, j, i), np.where(swap, i, j)
-                        yield emit(ids[x], ids[y], sizes[x], sizes[y], n[q : q + 500_000])
+                    for q in range(0, len(u), 1_000_000):
+                        yield emit(u[q : q + 1_000_000] // len(ids), u[q : q + 1_000_000] % len(ids), n[q : q + 1_000_000], ids, sizes)
                     held_k, held_n, total = [], [], 0
                 else:
                     held_k, held_n, total = [u], [n], len(u)
 
-    return blocks.repartitionById(n_blocks, F.col("block")).mapInArrow(run, "a long, b long, size_a int, size_b int, n int")
+    return blocks.repartitionById(n_blocks, F.col("block")).mapInArrow(run, "part int, ids binary, sizes binary, pairs binary, n binary")
+
 
+def _candidates(cells: DataFrame, num: int, den: int, n_parts: int) -> DataFrame:
+    """Pairs (a, b) of rows that the sizes don't rule out, from the cells' sums over all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            for ids, sizes, pairs, n in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+                i, s, n = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int32), np.frombuffer(n, np.uint16)
+                at = np.frombuffer(pairs, np.uint16 if len(i) < 65536 else np.uint32)
+                x, y = at[: len(n)], at[len(n) :]
+                rows.append((i[x], i[y], s[x], s[y], n))
+        if not rows:
+            return
+        a, b, x, y, n = (np.concatenate([r[k] for r in rows]).astype(np.int64) for k in range(5))
+        del rows
+        order = np.lexsort((b, a))
+        a, b, x, y, n = a[order], b[order], x[order], y[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        n, a, b, x, y = np.add.reduceat(n, first), a[first], b[first], x[first], y[first]
+        # in the common order, all that two rows share beyond the shorter of their
+        # prefixes lies in that row's rest, which has _need(size) - 1 n-grams
+        rest = _need(np.maximum(x, y), num, den) - 1
+        ok = n + rest >= _need(x + y, num, num + den)
+        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
-def _candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
-    """Cells that the sizes don't rule out: (a, b)."""
-    n = cells.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("size_a").alias("x"), F.first("size_b").alias("y"))
-    need = F.expr(f"(({num}L * (x + y)) + {num + den - 1}L) div {num + den}L")
-    # in the common order, all that two rows share beyond the shorter of their
-    # prefixes lies in that row's rest, which has ceil(num * size / den) - 1 n-grams
-    rest = F.expr(f"((({num}L * greatest(x, y)) + {den - 1}L) div {den}L) - 1")
-    return n.where(F.col("n") + rest >= need).select("a", "b")
+    return cells.repartitionById(n_parts, F.col("part")).mapInArrow(run, "a long, b long")
 
 
 def _exact(pairs: DataFrame, classes: DataFrame, df: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are at the threshold."""
+    """What the pairs at the threshold come to, a tile at a time: (kind, a, b).
+
+    Kind 0: ``a`` and ``b`` are in one component; kind 1: ``b`` documents are
+    linked with those of class ``a``.  A row's text goes to its tiles once,
+    compressed, which is smaller than its set.
+    """
+    import zstandard
+
     spark = df.sparkSession
     both = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("a").alias("other")))
     least = both.groupBy("cls").agg(F.least(F.min("other"), F.first("cls")).alias("near"))
@@ -314,68 +352,89 @@ def _exact(pairs: DataFrame, classes: DataFrame, df: DataFrame, key: str, text:
     side = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("pairs") / TILE_PAIRS))).cast("long")
     tiled = table(homed.join(load, "near").select("a", "b", "near", (F.pmod(F.xxhash64("a"), side) * side + F.pmod(F.xxhash64("b"), side)).alias("tile")), "tiles")
     members = tiled.select("near", "tile", F.col("a").alias("cls")).unionByName(tiled.select("near", "tile", F.col("b").alias("cls"))).distinct()
-    wanted = table(members.select("cls").distinct().join(classes.select("cls", "rep"), "cls"), "wanted")
+    wanted = table(members.select("cls").distinct().join(classes.select("cls", "rep", "copies"), "cls"), "wanted")
     n_wanted = wanted.count()
     keyed = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     texts = keyed.join(small_side(wanted, n_wanted), F.col("key").eqNullSafe(F.col("rep")))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part, buf, off in slices(batch):
                 h, at = shingle_rows(buf, off, n)
-                a = at.tolist()
-                own = [h[s:e] for s, e in zip(a[:-1], a[1:])]
+                raw, o, a = buf.tobytes(), off.tolist(), at.tolist()
+                cls = part.column(0).to_pylist()
                 # rows that share the representative's key but not its set drop out
-                ok = [len(x) > 0 and _signature(x) == c for x, c in zip(own, part.column(0).to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, k in zip(part.column(0).to_pylist(), ok) if k], pa.int64()), pa.array([x.tobytes() for x, k in zip(own, ok) if k], pa.binary())], names=["cls", "set"])
+                ok = [k for k, c in enumerate(cls) if a[k] < a[k + 1] and _signature(h[a[k] : a[k + 1]]) == c]
+                yield pa.RecordBatch.from_arrays([pa.array([cls[k] for k in ok], pa.int64()), part.column(1).take(pa.array(ok, pa.int64())), pa.array([z.compress(raw[o[k] : o[k + 1]]) for k in ok], pa.binary())], names=["cls", "copies", "raw"])
 
-    made = texts.select("cls", "text").mapInArrow(sets, "cls long, set binary")
+    made = texts.select("cls", "copies", "text").mapInArrow(press, "cls long, copies long, raw binary")
     rows = (
-        tiled.select("near", "tile", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("set"))
-        .unionByName(members.join(made, "cls").select("near", "tile", F.lit(0).alias("kind"), F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "set"))
+        tiled.select("near", "tile", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("raw"))
+        .unionByName(members.join(made, "cls").select("near", "tile", F.lit(0).alias("kind"), F.col("cls").alias("a"), F.col("copies").alias("b"), "raw"))
         .repartition(shuffle_partitions(spark), "near", "tile")
         .sortWithinPartitions("near", "tile", "kind")
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
-        own: dict[int, np.ndarray] = {}
-        for batch in batches:
-            near, tile, kind, a, b = (batch.column(k).to_pylist() for k in range(5))
-            blobs = batch.column(5)
-            todo: dict[tuple, list] = {}
-            out_a, out_b = [], []
-
-            def overlaps() -> None:
-                by: dict[int, list] = {}
-                for x, y in todo.pop(now, []):
-                    by.setdefault(x, []).append(y)
-                for x, ys in by.items():
-                    mine = own[x]
-                    lens = np.array([len(own[y]) for y in ys])
-                    other = np.concatenate([own[y] for y in ys])
+        own: dict[int, tuple] = {}
+        asked: dict[int, list] = {}
+        z = zstandard.ZstdDecompressor()
+        out: list[tuple] = []
+
+        def close() -> None:
+            head: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while head.get(x, x) != x:
+                    head[x] = head.get(head[x], head[x])
+                    x = head[x]
+                return x
+
+            linked: dict[int, int] = {}
+            for x, ys in asked.items():
+                mine, copies = own[x]
+                for k in range(0, len(ys), 1000):
+                    some = ys[k : k + 1000]
+                    lens = np.array([len(own[y][0]) for y in some])
+                    other = np.concatenate([own[y][0] for y in some])
                     p = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
                     same = np.concatenate([[0], np.cumsum(mine[p] == other)])
                     ends = np.cumsum(lens)
                     common = same[ends] - same[ends - lens]
                     ok = den * common >= num * (len(mine) + lens - common)
-                    out_a.extend([x] * int(ok.sum()))
-                    out_b.extend(y for y, k in zip(ys, ok.tolist()) if k)
+                    for y in (y for y, good in zip(some, ok.tolist()) if good):
+                        linked[x] = linked.get(x, 0) + own[y][1]
+                        linked[y] = linked.get(y, 0) + copies
+                        head[find(x)] = find(y)
+            out.extend((1, x, n) for x, n in linked.items())
+            out.extend((0, x, find(x)) for x in linked if find(x) != x)
+            asked.clear()
+            own.clear()
+
+        def give() -> pa.RecordBatch:
+            cols = list(zip(*out)) or [[]] * 3
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int8(), pa.int64(), pa.int64()))], names=["kind", "a", "b"])
 
+        for batch in batches:
+            near, tile, kind, a, b = (batch.column(k).to_pylist() for k in range(5))
+            blobs = batch.column(5)
             for k in range(batch.num_rows):
-                cell = (near[k], tile[k])
-                if cell != now:
-                    if now is not None:
-                        overlaps()
-                    now, own = cell, {}
-                if kind[k] == 0:
-                    own[a[k]] = np.frombuffer(blobs[k].as_py(), dtype=U64)
+                if (near[k], tile[k]) != now:
+                    close()
+                    now = near[k], tile[k]
+                if kind[k]:
+                    asked.setdefault(a[k], []).append(b[k])
                 else:
-                    todo.setdefault(now, []).append((a[k], b[k]))
-            overlaps()
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                    raw = np.frombuffer(z.decompress(blobs[k].as_py()), dtype=np.uint8)
+                    own[a[k]] = shingle_rows(raw, np.array([0, len(raw)]), n)[0], b[k]
+            yield give()
+        close()
+        yield give()
 
-    return rows.mapInArrow(count, "a long, b long")
+    return rows.mapInArrow(count, "kind byte, a long, b long")
 
 
 def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -386,15 +445,16 @@ def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     sketch = spark.sparkContext.broadcast(_add_sketches(first.where("block is not null").select("block", "sketch"), sketch_bits))
     classes = table(docs.where("cls is not null").groupBy("cls").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")), "classes")
     entries = (classes.agg(F.sum("n").alias("n")).first()["n"] or 0) * (den - num) / den
-    n_blocks = partitions_for(spark, 24 * entries)
-    cells = _product(_blocks(df, text, n, sketch, sketch_bits, num, den, n_blocks), num, den, n_blocks)
-    pairs = table(_candidates(cells, num, den), "pairs")
+    # a pair has a cell in nearly every block: few, of bounded size
+    n_blocks = max(1, math.ceil(24 * entries / BLOCK_BYTES))
+    n_parts = shuffle_partitions(spark)
+    cells = _product(_blocks(df, text, n, sketch, sketch_bits, num, den, n_blocks), num, den, n_blocks, n_parts)
+    pairs = table(_candidates(cells, num, den, n_parts), "pairs")
     links = table(_exact(pairs, classes, df, key, text, n, num, den), "links")
     drop_table(pairs)
     copies = classes.select("cls", "rep", "copies")
-    both = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("other")))
-    near = both.join(copies.select(F.col("cls").alias("other"), F.col("copies").alias("c")), "other").groupBy("cls").agg(F.sum("c").alias("near"))
-    parts = components(links).withColumnRenamed("node", "cls")
+    near = links.where("kind = 1").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("near"))
+    parts = components(links.where("kind = 0").select("a", "b")).withColumnRenamed("node", "cls")
     least = parts.join(copies.select("cls", "rep"), "cls").groupBy("root").agg(F.min("rep").alias("least"))
     linked = parts.join(least, "root").join(near, "cls").select("cls", "near", "least")
     verdict = table(copies.join(linked, "cls", "left").select("cls", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("similar"), F.coalesce("least", "rep").alias("component")).where("similar > 0"), "verdict")
