@@ -3,10 +3,9 @@
 Suffixes are classed as smaller or larger than their successor; the leftmost
 smaller ones (LMS) are sorted by their substrings, which are named, and the
 string of names is sorted by the same function.  The order of all suffixes is
-induced from theirs in two sweeps over the buckets of first letters.  Over
-bytes a sweep handles a bucket at a time with array operations, and only
-chains of equal bytes need further steps within one; over names, whose
-buckets are many and small, it goes from suffix to suffix.
+induced from theirs in two sweeps over the buckets of first letters, each
+linear in the text, which take large buckets, or batches of small ones, at a
+time with array operations.
 """
 
 from __future__ import annotations
@@ -23,73 +22,98 @@ def _classes(t: np.ndarray) -> np.ndarray:
     return np.concatenate([small, [True]])
 
 
-def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The suffix array that an order of the LMS suffixes induces."""
+#: Suffixes of the buckets that a sweep takes at once, about.
+BATCH = 8192
+
+
+def _sweep(t: np.ndarray, wanted: np.ndarray, fixed: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One sweep in ascending order of letters.
+
+    ``fixed`` are the suffixes known before, in the sweep's order.  A suffix
+    is entered in the bucket of its letter, after those entered before and
+    before the fixed ones, when the one after it in the text is passed, if it
+    is ``wanted``.  Returns those entered, in order, with gaps of -1 at the
+    end of each bucket of ``counts`` places.
+
+    Buckets are passed in batches.  Within a batch, what its own suffixes
+    enter is found by repeating the pass until nothing is added: a chain of k
+    suffixes in one batch is in place after k repeats.
+    """
     n = len(t)
-    counts = np.bincount(t, minlength=256)
-    tails = np.cumsum(counts)
-    heads = tails - counts
-    sa = np.empty(n, dtype=np.int64)
+    ends = np.cumsum(counts)
+    heads = ends - counts
+    out = np.full(n, -1, dtype=np.int64)
     fill = heads.copy()
-    by = np.argsort(t[lms], kind="stable")
-    seeds = lms[by]
-    seed_at = np.searchsorted(t[seeds], np.arange(257))
-    used = np.flatnonzero(counts).tolist()
+    fixed_at = np.searchsorted(t[fixed], np.arange(len(counts) + 1))
 
-    def append(j: np.ndarray, c: np.ndarray) -> None:
+    def enter(j: np.ndarray) -> None:
+        c = t[j]
         order = np.argsort(c, kind="stable")
         c = c[order].astype(np.int64)
         at = segments(c)
         own, size = c[at[:-1]], np.diff(at)
-        sa[np.repeat(fill[own], size) + ranges(size)] = j[order]
+        out[np.repeat(fill[own], size) + ranges(size)] = j[order]
         fill[own] += size
 
-    for c in used:
-        q = sa[heads[c] : fill[c]]
-        while len(q):
-            j = q - 1
-            j = j[j >= 0]
-            j = j[~small[j]]
-            if not len(j):
-                break
-            first = fill[c]
-            append(j, t[j])
-            q = sa[first : fill[c]]
-        q = seeds[seed_at[c] : seed_at[c + 1]] - 1
-        q = q[q >= 0]
-        if len(q):
-            append(q, t[q])
-    larger = fill.copy()
-    fill = tails.copy()
-
-    def prepend(j: np.ndarray, c: np.ndarray) -> None:
-        order = np.argsort(c, kind="stable")
-        c = c[order].astype(np.int64)
-        at = segments(c)
-        own, size = c[at[:-1]], np.diff(at)
-        sa[np.repeat(fill[own], size) - 1 - ranges(size)] = j[order]
-        fill[own] -= size
-
-    for c in reversed(used):
-        if c == 0:  # the end mark alone
-            sa[0] = n - 1
-            break
-        q = sa[fill[c] : tails[c]][::-1]
-        while len(q):
-            j = q - 1
-            j = j[j >= 0]
-            j = j[small[j]]
-            if not len(j):
-                break
-            first = fill[c]
-            prepend(j, t[j])
-            q = sa[fill[c] : first][::-1]
-        q = sa[heads[c] : larger[c]][::-1] - 1
-        q = q[q >= 0]
-        q = q[small[q]]
-        if len(q):
-            prepend(q, t[q])
-    return sa
+    def before(q: np.ndarray) -> np.ndarray:
+        j = q - 1
+        j = j[j >= 0]
+        return j[wanted[j]]
+
+    c, total = 0, len(counts)
+    while c < total:
+        d = max(c + 1, int(np.searchsorted(ends, heads[c] + BATCH, side="right")))
+        seeds = fixed[fixed_at[c] : fixed_at[d]]
+        if d == c + 1:
+            q = out[heads[c] : fill[c]]
+            while len(q):
+                j = before(q)
+                if not len(j):
+                    break
+                first = fill[c]
+                enter(j)
+                q = out[first : fill[c]]
+            if len(seeds):
+                j = before(seeds)
+                if len(j):
+                    enter(j)
+        else:
+            size = fill[c:d] - heads[c:d]
+            known = out[np.repeat(heads[c:d], size) + ranges(size)]
+            new = known[:0]
+            while True:
+                q = np.concatenate([known, new, seeds])
+                key = t[q] - c
+                q = q[np.argsort(key.astype(np.uint16) if d - c < 65536 else key, kind="stable")]
+                j = before(q)
+                own = t[j] < d
+                last, new = len(new), j[own]
+                if len(new) == last:
+                    break
+            if len(new):
+                enter(new)
+            j = j[~own]
+            if len(j):
+                enter(j)
+        c = d
+    return out
+
+
+def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The suffix array that an order of the LMS suffixes induces."""
+    t = t.astype(np.int64)
+    top = int(t.max())
+    counts = np.bincount(t, minlength=top + 1)
+    seeds = lms[np.argsort(t[lms], kind="stable")]
+    up = _sweep(t, ~small, seeds, counts)
+    larger = up[up >= 0]
+    # from the other side: letters and order reversed, the larger ones fixed
+    down = _sweep(top - t, small, larger[::-1], counts[::-1])
+    smaller = down[down >= 0][::-1]
+    # in a bucket the larger suffixes come first; the end mark is the first of all
+    sa = np.concatenate([larger, smaller[smaller != len(t) - 1]])
+    sa = sa[np.argsort(t[sa], kind="stable")]
+    return np.concatenate([[len(t) - 1], sa])
 
 
 def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -111,53 +135,23 @@ def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(~same)])
 
 
-def _induce_names(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The same over an alphabet of names: two plain sweeps, linear in the string alone."""
-    n = len(t)
-    counts = np.bincount(t)
-    tails = np.cumsum(counts)
-    heads = (tails - counts).tolist()
-    sa = [-1] * n
-    text, is_small = t.tolist(), small.tolist()
-    fill = tails.tolist()
-    for j in reversed(lms.tolist()):
-        c = text[j]
-        fill[c] -= 1
-        sa[fill[c]] = j
-    for j in sa:  # grows ahead of the sweep
-        if j > 0 and not is_small[j - 1]:
-            c = text[j - 1]
-            sa[heads[c]] = j - 1
-            heads[c] += 1
-    fill = tails.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i]
-        if j > 0 and is_small[j - 1]:
-            c = text[j - 1]
-            fill[c] -= 1
-            sa[fill[c]] = j - 1
-    sa[0] = n - 1
-    return np.array(sa, dtype=np.int64)
-
-
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Order of all suffixes of ``t``, numbers above 0 with a 0 at the end."""
     n = len(t)
     if n <= 1:
         return np.arange(n)
-    induce = _induce if t.dtype == np.uint8 and n > 4096 else _induce_names
     small = _classes(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
-    sa = induce(t, small, lms)
+    sa = _induce(t, small, lms)
     ordered = sa[is_lms[sa]]
     names = _names(t, lms, ordered)
     if names[-1] + 1 < len(lms):
         of = np.empty(n, dtype=np.int64)
         of[ordered] = names
         ordered = lms[suffix_array(of[lms])]
-    return induce(t, small, ordered)
+    return _induce(t, small, ordered)
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -60,7 +60,8 @@ _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
 def _text_class(raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw) >> 1
+    # as F.xxhash64 has it, without the lowest bit
+    return xxhash.xxh64_intdigest(raw, 42) >> 1
 
 
 def _slide(a: np.ndarray, w: int, op, neutral: int) -> np.ndarray:
@@ -577,8 +578,4 @@ def remove_repeats(df: DataFrame, text: str = "text", length: int = 200, chars:
 
 
 def _class_of(column):
-    @F.pandas_udf("long")
-    def run(texts):
-        return texts.map(lambda t: _text_class((t or "").encode("utf-8"))).astype("int64")
-
-    return run(column)
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(column, F.lit(""))), 1)
