@@ -137,7 +137,7 @@ def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: s
     docs = table(measured(df, key, text, source), "sizes")
     plan = thresholds(docs, source_targets(docs, weights, share, most))
     n = plan.count()
-    side = plan.select(F.col("source").alias("_source"), F.col("passes").alias("_passes"), F.col("threshold").alias("_threshold"))
-    out = df.withColumn("_h", key_hash(key)).join(small_side(side, n), F.col("_source").eqNullSafe(F.col(source).cast("string")))
-    copies = F.col("_passes") + F.when((F.col("_h") <= F.col("_threshold")) & (F.col("_passes") < most), 1).otherwise(0)
-    return out.withColumn("_n", copies.cast("int")).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*df.columns)
+    side = plan.select(F.col("source").alias("__lx_source"), F.col("passes").alias("__lx_passes"), F.col("threshold").alias("__lx_threshold"))
+    out = df.withColumn("__lx_h", key_hash(key)).join(small_side(side, n), F.col("__lx_source").eqNullSafe(F.col(source).cast("string")))
+    copies = F.col("__lx_passes") + F.when((F.col("__lx_h") <= F.col("__lx_threshold")) & (F.col("__lx_passes") < most), 1).otherwise(0)
+    return out.withColumn("__lx_n", copies.cast("int")).where("__lx_n > 0").withColumn("__lx_copy", F.explode(F.sequence(F.lit(1), F.col("__lx_n")))).select(*df.columns)

@@ -378,6 +378,8 @@ def repeated_in_shard(regions: list[bytes], cls: np.ndarray, start: np.ndarray,
 
 def _stretches(cls: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of ``length`` at the given begins, merged: class, start, end."""
+    if not len(cls):
+        return cls, begin, begin
     order = np.lexsort((begin, cls))
     cls, begin = cls[order], begin[order]
     new = np.ones(len(cls), dtype=bool)
@@ -551,13 +553,13 @@ def remove_repeats(df: DataFrame, text: str = "text", length: int = 200, chars:
     entirely stay as empty texts.
     """
     spark = df.sparkSession
-    own = df.withColumn("_cls", _class_of(F.col(text)))
-    sized = own.select("_cls", F.octet_length(text).cast("long").alias("n"))
+    own = df.withColumn("__lx_cls", _class_of(F.col(text)))
+    sized = own.select("__lx_cls", F.octet_length(text).cast("long").alias("n"))
     total = sized.agg(F.sum("n").alias("n")).first()["n"] or 0
-    verdicts = _repeats(df, text, length, total, True).select(F.col("cls").alias("_cls"), "kept")
-    copied = sized.where(F.col("n") >= length).groupBy("_cls").agg(F.count("*").alias("c")).where("c > 1").select("_cls", F.lit(b"").alias("kept"))
-    known = table(verdicts.join(copied.select("_cls"), "_cls", "left_anti").unionByName(copied), "known")
-    bits = _bits(known, "_cls", BLOOM_BITS)
+    verdicts = _repeats(df, text, length, total, True).select(F.col("cls").alias("__lx_cls"), "kept")
+    copied = sized.where(F.col("n") >= length).groupBy("__lx_cls").agg(F.count("*").alias("c")).where("c > 1").select("__lx_cls", F.lit(b"").alias("kept"))
+    known = table(verdicts.join(copied.select("__lx_cls"), "__lx_cls", "left_anti").unionByName(copied), "known")
+    bits = _bits(known, "__lx_cls", BLOOM_BITS)
 
     @F.pandas_udf("boolean")
     def touched(cls):
@@ -569,11 +571,11 @@ def remove_repeats(df: DataFrame, text: str = "text", length: int = 200, chars:
     def readable(kept):
         return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
-    same = own.where(~touched("_cls")).select(*df.columns)
+    same = own.where(~touched("__lx_cls")).select(*df.columns)
     n = shuffle_partitions(spark)
-    hit = own.where(touched("_cls")).repartition(n, "_cls").join(known.withColumn("_hit", F.lit(True)), "_cls", "left").withColumn("_new", readable("kept"))
-    new = F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(text))
-    cols = [new.alias(c) if c == text else F.when(F.col("_hit"), F.length("_new").cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == chars else F.col(c) for c in df.columns]
+    hit = own.where(touched("__lx_cls")).repartition(n, "__lx_cls").join(known.withColumn("__lx_hit", F.lit(True)), "__lx_cls", "left").withColumn("__lx_new", readable("kept"))
+    new = F.when(F.col("__lx_hit"), F.col("__lx_new")).otherwise(F.col(text))
+    cols = [new.alias(c) if c == text else F.when(F.col("__lx_hit"), F.length("__lx_new").cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == chars else F.col(c) for c in df.columns]
     return same.unionByName(hit.select(*cols))
 
 
