@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .common import new_path, write_bytes
+from .common import drop_table, new_path, table, write_bytes
 from .kernels import slices
 from .lexicon import Lexicon, build
 
@@ -218,7 +218,17 @@ def make_lexicon(df: DataFrame, path: str, text: str = "text", size: int = LEXIC
     The driver holds ``size`` words, whatever the corpus.
     """
     spark = df.sparkSession
-    top = word_counts(df, text).orderBy(F.desc("n"), "word").limit(size).collect()
+    counted = table(word_counts(df, text), "words")
+    # the least count that at most ``size`` words reach: a histogram decides, no sort
+    bins = counted.groupBy(F.floor(16 * F.log2("n")).cast("int").alias("b")).agg(F.count("*").alias("words"), F.min("n").alias("n")).collect()
+    least, held = None, 0
+    for r in sorted(bins, key=lambda r: -r["b"]):
+        held += r["words"]
+        if held > size:
+            break
+        least = r["n"]
+    top = counted.where(F.col("n") >= least).collect() if least is not None else []
+    drop_table(counted)
     tok = words.load(path)
     found = {bytes(r["word"]): words.pre_token_ids(tok, bytes(r["word"]).decode("utf-8")) for r in top}
     at = new_path(spark, "lexicon") + ".bin"
