@@ -289,7 +289,7 @@ def _word_distance(h: np.ndarray, first: np.ndarray, hashes: np.ndarray, share:
     q = share[w]
     m = (p + q) / 2
     terms = _xlog(p, m) + _xlog(q, m)
-    div = np.bincount(r, terms, n_rows)
+    div = np.bincount(r, terms, n_rows).astype(np.float64)  # no terms: integers
     # a common word that the row lacks adds its whole share
     div += share.sum() - np.bincount(r, q, n_rows)
     rest_p = 1 - np.bincount(r, p, n_rows)
