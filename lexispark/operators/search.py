@@ -90,6 +90,12 @@ def _expanded(index: Index, terms: DataFrame, kinds: set[str]) -> DataFrame:
     return out
 
 
+def _small(df: DataFrame, kinds: set[str]) -> DataFrame:
+    """Marked for broadcast where its size is the queries' own; what patterns expand
+    to can be as large as the vocabulary, and is left to the optimiser."""
+    return F.broadcast(df) if kinds <= {"exact"} else df
+
+
 def _kinds(queries: Mapping[str, Query]) -> set[str]:
     kinds = set()
     for q in queries.values():
@@ -114,7 +120,7 @@ def _plan(index: Index, queries: Mapping[str, Query]) -> tuple[DataFrame, DataFr
     asked = hit.select("query_id", "clause_no", "presence", F.explode("fields").alias("field"), F.col("word").alias("term"), (F.col("boost") * F.col("times")).alias("boost"), "times")
     lengths = asked.groupBy("query_id", "field", "term").agg(F.sum("boost").alias("w")).groupBy("query_id", "field").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
-    met = index.postings.select("term", "field", "doc_ref", "weight").join(F.broadcast(asked), ["field", "term"])
+    met = index.postings.select("term", "field", "doc_ref", "weight").join(_small(asked, _kinds(queries)), ["field", "term"])
     required = F.when(F.col("presence") == Presence.REQUIRED.value, F.col("clause_no"))
     banned = F.col("presence") == Presence.PROHIBITED.value
     by_field = met.groupBy("query_id", "doc_ref", "field").agg(
@@ -152,13 +158,14 @@ def search(index: Index, query: str | Query, limit: int | None = None, matches:
     ``terms`` maps term to field to positions; only the postings of returned
     documents are read for it.
     """
-    result, asked = _plan(index, _queries(index, {"0": query}))
+    parsed = _queries(index, {"0": query})
+    result, asked = _plan(index, parsed)
     out = result.select("ref", "score").orderBy(F.desc("score"), "ref")
     if limit is not None:
         out = out.limit(limit)
     if not matches:
         return out
-    spots = index.postings.join(F.broadcast(asked), ["field", "term"]).join(out.withColumnRenamed("ref", "doc_ref"), "doc_ref")
+    spots = index.postings.join(_small(asked, _kinds(parsed)), ["field", "term"]).join(out.withColumnRenamed("ref", "doc_ref"), "doc_ref")
     spots = spots.where("score <> 0 and weight <> 0")
     each = F.struct("clause_no", F.flatten(F.array_repeat("positions", F.col("times"))).alias("positions"))
     own = spots.groupBy("doc_ref", "term", "field").agg(F.flatten(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["positions"])).alias("positions"))

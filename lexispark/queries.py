@@ -39,11 +39,13 @@ def _builder() -> IndexBuilder:
 
 
 def _kept(spark: SparkSession, key: tuple, make: Callable[[], Index]) -> Index:
-    """One index a session and folder: its postings are staged and read by all queries."""
+    """One index a session and folder: its tables are staged and read by all queries."""
     key = (id(spark), *key)
     if key not in _built:
         ix = make()
         ix.postings = staged(ix.postings.sortWithinPartitions("term"))
+        ix.vocab = staged(ix.vocab.sortWithinPartitions("term"))
+        ix.doc_fields = staged(ix.doc_fields)
         _built[key] = ix
     return _built[key]
 
