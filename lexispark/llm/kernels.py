@@ -18,7 +18,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that one kernel call takes at once, unless one row is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _P = 0x9E3779B97F4A7C15 | 1
 _PI = pow(_P, -1, 1 << 64)

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import words
 from .common import drop_table, shuffle_partitions, small_side, table
 from .components import components
 from .kernels import LOWER, Prefix, U64, mix, ranges, row_of, segments, slices, word_spans
@@ -103,6 +104,7 @@ def _sets(df: DataFrame, key: str, text: str, n: int, bits: int) -> DataFrame:
     parts = 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.release()
         sketch = np.zeros(1 << bits, dtype=np.uint32)
         seen: set[int] = set()
         any_row = False
@@ -172,6 +174,7 @@ def _blocks(df: DataFrame, text: str, n: int, sketch, bits: int, num: int, den:
     """The prefixes' incidences, packed by column block: (block, h, row, cls, size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.release()
         counts = sketch.value
         seen: set[int] = set()
         held: list[tuple] = []

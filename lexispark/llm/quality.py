@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import words
 from .common import partitions_for
 from .kernels import LOWER, Prefix, U64, mix, ranges, row_of, segments, slices, word_spans
 
@@ -148,6 +149,7 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict:
     blocks = partitions_for(spark, 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.release()
         held: dict[str, list] = {}
         size = 0
 
@@ -330,6 +332,7 @@ def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
     shared = df.sparkSession.sparkContext.broadcast(refs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.release()
         for batch in batches:
             for part, buf, off in slices(batch):
                 got = _judge(buf, off, part.column(1).to_pylist(), shared.value)
@@ -346,6 +349,7 @@ def quality_filter(df: DataFrame, text: str = "text", lang: str = "lang", refs:
     at = df.columns.index(lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.release()
         for batch in batches:
             for part, buf, off in slices(batch, text):
                 got = _judge(buf, off, part.column(at).cast(pa.string()).to_pylist(), shared.value)

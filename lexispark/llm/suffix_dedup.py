@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import words
 from .common import drop_table, partitions_for, shuffle_partitions, table
 from .kernels import Prefix, U64, mix, ranges, segments, slices
 from .suffix_array import permuted_lcp, suffix_array
@@ -127,6 +128,7 @@ def _marked(df: DataFrame, text: str, length: int, n_blocks: int) -> DataFrame:
         raise ValueError("length is at most K + 255")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.release()
         seen: set[int] = set()
         for batch in batches:
             for _, buf, off in slices(batch):
@@ -286,6 +288,7 @@ def _texts(df: DataFrame, text: str, wanted, bits: int) -> DataFrame:
     import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.release()
         seen: set[int] = set()
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
@@ -393,6 +396,7 @@ def _compared(around: DataFrame, length: int, n_shards: int) -> DataFrame:
     """(cls, start, end) that the shards' suffix arrays, and hot places' hashes, find repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.release()
         held, size, last = [], 0, None
         hot: list[tuple] = []
 

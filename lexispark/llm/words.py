@@ -21,6 +21,22 @@ _loaded: dict[tuple, object] = {}
 _LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)\\Z")
 
 
+def release() -> None:
+    """Gives back the memory of all tables: a worker may go on with another operator."""
+    held = [k for k in _loaded if k[0] != "file"]
+    for k in held:
+        del _loaded[k]
+    if held:
+        import ctypes
+        import gc
+
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps it, which is no error
+            return
+
+
 def load(path: str):
     """A tokenizer file, once per worker: ``.json`` or sentencepiece's ``.model``."""
     got = _loaded.get(("file", path))
