@@ -82,7 +82,7 @@ class Mapping:
 
 
 MAPPINGS = (
-    Mapping("turn rows", ("conv_id", "turn", "role", "text"), rows=("conv_id", "turn", "role", "text")),
+    Mapping("turn rows", ("turn", "role", "text"), rows=("conv_id", "turn", "role", "text")),
     Mapping("messages", ("messages", "messages.[]", "messages.[].role", "messages.[].content"), each="messages", role="role", text="content"),
     Mapping("conversations", ("conversations", "conversations.[]", "conversations.[].from", "conversations.[].value"), each="conversations", role="from", text="value"),
     Mapping("turns", ("turns", "turns.[]", "turns.[].speaker", "turns.[].text"), each="turns", role="speaker", text="text"),

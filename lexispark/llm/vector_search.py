@@ -22,7 +22,8 @@ lengths' product could exceed 2 ** 53, Python's integers are used.
 Vectors that are null or hold a null or non-finite component take no part;
 candidates of another dimension than the query's don't either.  Rows that
 share the query's id are the query's own.  Ties go to the smaller id; with
-fewer than k candidates all are returned.
+fewer than k candidates all are returned.  Scores beyond a long's range are
+pinned to it, and then tie.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ BLOCK = 1024
 CHUNK = 1 << 15
 LONGEST = 2048
 
+_MOST = (1 << 63) - 1
+
 _VECTOR = "vec_id long, dim int, norm double, data binary"
 
 
@@ -86,7 +89,7 @@ class _Best:
 
     def add(self, q: int, ids: np.ndarray, scores) -> None:
         own = self.rows[q]
-        own.extend((-int(s), int(i)) for s, i in zip(scores, ids))
+        own.extend((-max(-_MOST, min(_MOST, int(s))), int(i)) for s, i in zip(scores, ids))
         own.sort()
         del own[self.k :]
         if len(own) == self.k:
