@@ -44,7 +44,7 @@ def _sweep(t: np.ndarray, wanted: np.ndarray, fixed: np.ndarray, counts: np.ndar
     heads = ends - counts
     out = np.full(n, -1, dtype=np.int64)
     fill = heads.copy()
-    fixed_at = np.searchsorted(t[fixed], np.arange(len(counts) + 1))
+    fixed_at = np.concatenate([[0], np.cumsum(np.bincount(t[fixed], minlength=len(counts)))])
 
     def enter(j: np.ndarray) -> None:
         c = t[j]
@@ -101,19 +101,18 @@ def _sweep(t: np.ndarray, wanted: np.ndarray, fixed: np.ndarray, counts: np.ndar
 
 def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """The suffix array that an order of the LMS suffixes induces."""
-    t = t.astype(np.int64)
     top = int(t.max())
+    # narrow letters are sorted by their digits
+    t = t.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.int32)
     counts = np.bincount(t, minlength=top + 1)
     seeds = lms[np.argsort(t[lms], kind="stable")]
     up = _sweep(t, ~small, seeds, counts)
-    larger = up[up >= 0]
     # from the other side: letters and order reversed, the larger ones fixed
-    down = _sweep(top - t, small, larger[::-1], counts[::-1])
-    smaller = down[down >= 0][::-1]
+    down = _sweep((top - t).astype(t.dtype), small, up[up >= 0][::-1], counts[::-1])
     # in a bucket the larger suffixes come first; the end mark is the first of all
-    sa = np.concatenate([larger, smaller[smaller != len(t) - 1]])
-    sa = sa[np.argsort(t[sa], kind="stable")]
-    return np.concatenate([[len(t) - 1], sa])
+    sa = np.where(up >= 0, up, down[::-1])
+    sa[0] = len(t) - 1
+    return sa
 
 
 def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
