@@ -166,9 +166,11 @@ def search(index: Index, query: str | Query, limit: int | None = None, matches:
     if not matches:
         return out
     spots = index.postings.join(_small(asked, _kinds(parsed)), ["field", "term"]).join(out.withColumnRenamed("ref", "doc_ref"), "doc_ref")
-    spots = spots.where("score <> 0 and weight <> 0")
+    spots = spots.where("score <> 0")
     each = F.struct("clause_no", F.flatten(F.array_repeat("positions", F.col("times"))).alias("positions"))
-    own = spots.groupBy("doc_ref", "term", "field").agg(F.flatten(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["positions"])).alias("positions"))
+    own = spots.groupBy("doc_ref", "term", "field").agg(F.flatten(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["positions"])).alias("positions"), F.sum(F.col("boost") * F.col("weight")).alias("x"))
+    # a field that adds nothing to the score shows no matches
+    own = own.withColumn("x", F.sum("x").over(Window.partitionBy("doc_ref", "field"))).where("x <> 0")
     by_term = own.groupBy("doc_ref", "term").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "positions")), lambda a, b: F.when(a["field"] < b["field"], -1).when(a["field"] > b["field"], 1).otherwise(0))).alias("fields"))
     by_doc = by_term.groupBy(F.col("doc_ref").alias("ref")).agg(F.map_from_entries(F.collect_list(F.struct("term", "fields"))).alias("terms"))
     return out.join(by_doc, "ref", "left").orderBy(F.desc("score"), "ref")

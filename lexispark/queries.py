@@ -324,7 +324,8 @@ p AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_ref, field
 SELECT p.doc_ref AS ref, st.stem AS term, p.field, p.start::INTEGER AS start, length(p.raw)::INTEGER AS length
 FROM p JOIN stems st ON regexp_replace(p.raw, '{_EDGE}', '', 'g') = st.word
 WHERE st.stem IN (SELECT stem FROM stems WHERE word IN ('license', 'rights'))
-  AND EXISTS (SELECT 1 FROM postings q WHERE q.doc_ref = p.doc_ref AND q.field = p.field AND q.term = st.stem AND q.weight <> 0)""",
+  AND EXISTS (SELECT 1 FROM postings q WHERE q.doc_ref = p.doc_ref AND q.field = p.field AND q.weight <> 0
+    AND q.term IN (SELECT stem FROM stems WHERE word IN ('license', 'rights')))""",
 )
 def match_positions(spark, sf_dir):
     found = documents_index(spark, sf_dir).search("license rights", matches=True)
