@@ -19,6 +19,7 @@ Repeated rows are judged each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +35,10 @@ from .kernels import LOWER, Prefix, U64, mix, ranges, row_of, segments, slices,
 COMMON_SHARE = 1 / 1000
 LANGUAGE_WORDS = 20_000
 LANGUAGES = 256
-#: Distances beyond which a document is rejected.  A histogram of n words
-#: strays from its source by about 1 / sqrt(n), which the words' bound allows for.
+#: Distances beyond which a document is rejected: of byte classes; and of words,
+#: above the distance that so many words drawn from the reference would have.
 CLASS_DISTANCE = 0.30
-WORD_DISTANCE = 0.30
-WORD_NOISE = 1.5
+WORD_EXCESS = 0.13
 #: Words below which a document isn't judged by distance.
 MIN_WORDS = 50
 
@@ -301,6 +301,20 @@ def _word_distance(h: np.ndarray, first: np.ndarray, hashes: np.ndarray, share:
     return np.where(total > 0, np.sqrt(np.maximum(0, div / 2)), 1.0)
 
 
+def _chance_distance(n_words: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """About the distance from the reference of so many words drawn from it.
+
+    A bin of share q adds 1 / (8 n ln 2) bits to the expected divergence; one
+    too rare to be drawn often adds no more than the q / 2 of its absence.
+    """
+    q = np.sort(np.append(share, max(0.0, 1 - share.sum())))
+    upto = np.concatenate([[0], np.cumsum(q)])
+    n = np.maximum(1, n_words)
+    each = 1 / (8 * math.log(2) * n)
+    rare = np.searchsorted(q, 2 * each)
+    return np.sqrt(upto[rare] / 2 + (len(q) - rare) * each)
+
+
 def _judge(buf: np.ndarray, off: np.ndarray, names: list, refs: dict) -> dict[str, np.ndarray]:
     out, h, first = base_counts(buf, off)
     n_words = out["n_words"]
@@ -309,7 +323,7 @@ def _judge(buf: np.ndarray, off: np.ndarray, names: list, refs: dict) -> dict[st
     known = [x if x in refs else _ALL for x in names]
     code = {x: k for k, x in enumerate(dict.fromkeys(known))}
     of = np.array([code[x] for x in known])
-    class_d, word_d = np.zeros(len(of)), np.zeros(len(of))
+    class_d, word_d, chance = np.zeros(len(of)), np.zeros(len(of)), np.zeros(len(of))
     for x, k in code.items():
         ref_classes, hashes, share = refs[x]
         rows = np.flatnonzero(of == k)
@@ -317,8 +331,9 @@ def _judge(buf: np.ndarray, off: np.ndarray, names: list, refs: dict) -> dict[st
         counts = n_words[rows]
         mine = np.repeat(first[rows], counts) + ranges(counts)
         word_d[rows] = _word_distance(h[mine], np.concatenate([[0], np.cumsum(counts)]), hashes, share)
+        chance[rows] = _chance_distance(counts, share)
     out["class_distance"], out["word_distance"] = class_d, word_d
-    strange = (class_d > CLASS_DISTANCE) | (word_d > WORD_DISTANCE + WORD_NOISE / np.sqrt(np.maximum(1, n_words)))
+    strange = (class_d > CLASS_DISTANCE) | (word_d > chance + WORD_EXCESS)
     out["kept"] = ~out["base_failed"] & ~(strange & (n_words >= MIN_WORDS))
     return out
 
