@@ -132,9 +132,11 @@ def language_from_code(code: str) -> Language:
     return LANGUAGES[code] if len(parts) == 1 else multi(*(LANGUAGES[p] for p in parts))
 
 
-def explode_tokens(df: DataFrame, language: Language, text: str, keys: list[str]) -> DataFrame:
-    """(*keys, ord, raw, start, length) of every token of ``text``; one row with
-    a null ``raw`` for a text without any, so that no key is lost.
+def explode_tokens(df: DataFrame, language: Language, text: str, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, *keep, ord, raw, start, length) of every token of ``text``; one row
+    with a null ``raw`` for a text without any, so that no key is lost.
+
+    ``keep`` are columns that the keys determine.
 
     Starts come from a running sum within the keys' groups: linear, and no
     array grows in a fold.
@@ -143,12 +145,13 @@ def explode_tokens(df: DataFrame, language: Language, text: str, keys: list[str]
 
     out = None
     for k, part in enumerate(language.parts):
-        units = df.select(*keys, F.posexplode_outer(part.units(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("_unit_no", "_unit"))
+        units = df.select(*keys, *keep, F.posexplode_outer(part.units(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("_unit_no", "_unit"))
         before = Window.partitionBy(*keys).orderBy("_unit_no").rowsBetween(Window.unboundedPreceding, -1)
         placed = units.withColumn("_before", F.coalesce(F.sum(F.length("_unit")).over(before), F.lit(0)).cast("int"))
-        tokens = placed.select(*keys, "_unit_no", "_before", F.posexplode_outer(part.tokens_of(F.col("_unit"))).alias("_no", "_token"))
+        tokens = placed.select(*keys, *keep, "_unit_no", "_before", F.posexplode_outer(part.tokens_of(F.col("_unit"))).alias("_no", "_token"))
         tokens = tokens.select(
             *keys,
+            *keep,
             F.struct(F.lit(k).alias("language"), F.col("_unit_no").alias("unit"), F.col("_no").alias("no")).alias("ord"),
             F.col("_token.term").alias("raw"),
             (F.col("_before") + F.col("_token.at")).alias("start"),
@@ -157,5 +160,5 @@ def explode_tokens(df: DataFrame, language: Language, text: str, keys: list[str]
         out = tokens if out is None else out.unionByName(tokens)
     if len(language.parts) > 1:
         first = F.min(F.struct("ord", "start", "length")).alias("_t")
-        out = out.groupBy(*keys, "raw").agg(first).select(*keys, "_t.ord", "raw", "_t.start", "_t.length")
+        out = out.groupBy(*keys, "raw").agg(first, *[F.first(c).alias(c) for c in keep]).select(*keys, *keep, "_t.ord", "raw", "_t.start", "_t.length")
     return out

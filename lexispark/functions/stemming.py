@@ -25,9 +25,13 @@ _SHORTENED = "icate:ic alize:al iciti:ic ative: ical:ic ness: ful:"
 _DROPPED = "ement ment ible able ence ance ize ive ous iti ate ism ent ant ou ic er al"
 
 
-def measure(s: Column) -> Column:
-    """Vowel runs that a consonant run follows."""
-    return F.regexp_count(s, F.lit("[aeiouy]+[^aeiouy]+"))
+#: The measure of a word counts its vowel runs that a consonant run follows.
+_ABOVE = {0: "[aeiouy][^aeiouy]", 1: "[aeiouy][^aeiouy]+[aeiouy]+[^aeiouy]"}
+
+
+def _above(s: Column, least: int) -> Column:
+    """Whether the measure is above 0, or above 1."""
+    return s.rlike(_ABOVE[least])
 
 
 def _without(w: Column, ending: str) -> Column:
@@ -44,14 +48,18 @@ def _short(s: Column) -> Column:
     return s.rlike(r"(?s)[^aeiouy][aeiouy][^aeiouywx]\z")
 
 
-def _first(w: Column, rules: list[tuple[str, str]], least: int) -> Column:
-    """The first ending that fits is replaced if ``measure`` of the rest is above ``least``."""
-    out = None
-    for ending, new in rules:
-        rest = _without(w, ending)
-        then = F.when(measure(rest) > least, F.concat(rest, F.lit(new))).otherwise(w)
-        out = F.when(_ends(w, ending), then) if out is None else out.when(_ends(w, ending), then)
-    return out
+def _rule(w: Column, rules: list[tuple[str, str]]) -> Column:
+    """The longest ending that fits with a letter before it: its length, then what replaces it."""
+    tries = []
+    for k in sorted({len(e) for e, _ in rules}, reverse=True):
+        listed = F.create_map(*[F.lit(x) for e, new in rules if len(e) == k for x in (e, f"{k}{new}")])
+        tries.append(F.when(F.length(w) > k, F.element_at(listed, F.right(w, F.lit(k)))))
+    return F.coalesce(*tries)
+
+
+def _replaced(w: Column, rule: Column, least: int) -> Column:
+    rest = F.substring(w, F.lit(1), F.length(w) - F.left(rule, F.lit(1)).cast("int"))
+    return F.when(_above(rest, least), F.concat(rest, F.substring(rule, F.lit(2), F.length(rule)))).otherwise(w)
 
 
 def _pairs(text: str) -> list[tuple[str, str]]:
@@ -82,21 +90,23 @@ def stem(df: DataFrame, column: str) -> DataFrame:
     c = F.col("_cut")
     last = F.right(c, F.lit(1))
     double = c.rlike(r"(?s)([\p{IsAlphabetic}&&[^aeiouy]])\1\z") & ~last.isin("l", "s", "z")
-    mended = F.when(c.rlike(r"(?:at|bl|iz)\z"), F.concat(c, F.lit("e"))).when(double, F.substring(c, F.lit(1), F.length(c) - 1)).when((measure(c) == 1) & _short(c), F.concat(c, F.lit("e"))).otherwise(c)
-    eed_cut = F.when(measure(_without(w, "eed")) > 0, F.concat(_without(w, "eed"), F.lit("e"))).otherwise(w)
-    y = w.rlike(r"(?s).[^aeiou]y\z") & c.isNull()
+    mended = F.when(c.rlike(r"(?:at|bl|iz)\z"), F.concat(c, F.lit("e"))).when(double, F.substring(c, F.lit(1), F.length(c) - 1)).when(_above(c, 0) & ~_above(c, 1) & _short(c), F.concat(c, F.lit("e"))).otherwise(c)
+    eed_cut = F.when(_above(_without(w, "eed"), 0), F.concat(_without(w, "eed"), F.lit("e"))).otherwise(w)
     d = step(d, F.when(c.isNotNull(), mended).when(eed, eed_cut).otherwise(w), word, c.isNotNull().alias("_done"))
     y = ~F.col("_done") & w.rlike(r"(?s).[^aeiou]y\z")
     d = step(d, F.when(y, F.concat(_without(w, "y"), F.lit("i"))).otherwise(w), word)
 
     # derived endings
-    d = step(d, _first(w, [p for k in sorted(_DERIVED, reverse=True) for p in _pairs(_DERIVED[k])], 0).otherwise(w), word)
-    d = step(d, _first(w, _pairs(_SHORTENED), 0).otherwise(w), word)
-    ion = w.rlike(r"(?s).[st]ion\z")
-    d = step(d, _first(w, [(e, "") for e in _DROPPED.split()], 1).when(ion & (measure(_without(w, "ion")) > 1), _without(w, "ion")).otherwise(w), word)
+    e = F.col("_end")
+    for rules, least in ((" ".join(_DERIVED.values()), 0), (_SHORTENED, 0), (" ".join(f"{x}:" for x in _DROPPED.split()), 1)):
+        d = d.select(*others, word, w, _rule(w, _pairs(rules)).alias("_end"))
+        new = F.when(e.isNotNull(), _replaced(w, e, least))
+        if least:
+            new = new.when(w.rlike(r"(?s).[st]ion\z") & _above(_without(w, "ion"), 1), _without(w, "ion"))
+        d = step(d, new.otherwise(w), word)
 
     # final e, double l
     rest = _without(w, "e")
-    d = step(d, F.when(_ends(w, "e") & ((measure(rest) > 1) | ((measure(rest) == 1) & ~_short(rest))), rest).otherwise(w), word)
-    d = step(d, F.when(F.endswith(w, F.lit("ll")) & (measure(w) > 1), _without(w, "l")).otherwise(w), word)
+    d = step(d, F.when(_ends(w, "e") & (_above(rest, 1) | (_above(rest, 0) & ~_short(rest))), rest).otherwise(w), word)
+    d = step(d, F.when(F.endswith(w, F.lit("ll")) & _above(w, 1), _without(w, "l")).otherwise(w), word)
     return d.select(*[F.when(keep, word).otherwise(w).alias(column) if x == column else F.col(x) for x in df.columns])

@@ -122,26 +122,27 @@ class _Build:
     def counted(self) -> DataFrame:
         """(doc_ref, field, doc_boost, term, tf, positions); a null term counts what was left out."""
         language = self.config.language
-        keys = ["doc_ref", "field", "doc_boost"]
+        # the boost isn't a key: doubles are normalised in keys, which would cost the tokens' partitioning
+        keys, boost = ["doc_ref", "field"], F.first("doc_boost").alias("doc_boost")
         simple = not self.positions and len(language.parts) == 1 and not language.script
         if simple:  # no starts: words by splitting alone
             from ..functions.languages import _BLANKS
 
-            tokens = self.texts.select(*keys, F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), rf"[{_BLANKS}-]", -1)).alias("raw"))
+            tokens = self.texts.select(*keys, "doc_boost", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), rf"[{_BLANKS}-]", -1)).alias("raw"))
             spot = F.lit(None).cast("struct<ord:int,start:int,length:int>")
         else:
-            tokens = explode_tokens(self.texts, language, "text", keys)
+            tokens = explode_tokens(self.texts, language, "text", keys, ("doc_boost",))
             spot = F.struct("ord", "start", "length")
         trimmed = tokens.withColumn("term", language.trim(F.coalesce("raw", F.lit(""))))
         kept = (F.col("term") != "") & ~language.is_stop_word(F.col("term"))
         trimmed = trimmed.withColumn("term", F.when(kept, F.col("term")))
         spots = F.collect_list(spot) if self.positions else F.lit(None).cast("array<struct<start:int,length:int>>")
-        words = trimmed.groupBy(*keys, "term").agg(F.count("*").alias("tf"), (spots if self.positions else F.first(spots)).alias("spots"))
+        words = trimmed.groupBy(*keys, "term").agg(F.count("*").alias("tf"), boost, (spots if self.positions else F.first(spots)).alias("spots"))
         stemmed = language.stemmed(words, "term")
         if any(p.stems for p in language.parts):
-            stemmed = stemmed.groupBy(*keys, "term").agg(F.sum("tf").alias("tf"), (F.flatten(F.collect_list("spots")) if self.positions else F.first("spots")).alias("spots"))
+            stemmed = stemmed.groupBy(*keys, "term").agg(F.sum("tf").alias("tf"), boost, (F.flatten(F.collect_list("spots")) if self.positions else F.first("spots")).alias("spots"))
         spots = F.transform(F.array_sort("spots"), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))) if self.positions else F.col("spots")
-        return stemmed.select(*keys, "term", "tf", spots.alias("positions"))
+        return stemmed.select(*keys, "doc_boost", "term", "tf", spots.alias("positions"))
 
     @cached_property
     def index(self) -> Index:

@@ -1,7 +1,7 @@
 """Query execution: one relational plan for one query or for many.
 
-Clauses are rows.  Their terms go through the language's own expressions,
-are expanded against the vocabulary, and meet the postings in one join on
+Clauses are rows.  Their terms, after the language's own expressions, are
+expanded against the vocabulary, and meet the postings in one join on
 (field, term); two aggregations, by field and by document, give scores and
 the tests of presence together.
 """
@@ -18,7 +18,7 @@ from ..plans.parser import parse_query
 from ..plans.query import Presence, Query
 from .build import Index
 
-_CLAUSE = "query_id string, clause_no int, presence string, boost double, edits int, piped boolean, term string, fields array<string>"
+_CLAUSE = "query_id string, clause_no int, presence string, boost double, edits int, term string, fields array<string>"
 
 
 def _queries(index: Index, queries: Mapping) -> dict[str, Query]:
@@ -38,18 +38,27 @@ def _alignments(pattern: str, term: str) -> int:
     return ways[len(term)]
 
 
-def _terms(index: Index, clauses: DataFrame, some: bool) -> DataFrame:
-    """A row per clause and term of it, after the language's trimming and stemming."""
+#: Words of queries that went through a language's expressions before: (code, term) to words.
+_known: dict[tuple[str, str], tuple[str, ...]] = {}
+
+
+def _words(index: Index, terms: set[str]) -> dict[str, tuple[str, ...]]:
+    """The words that a query's terms become by trimming and stemming: those of the index's
+    own expressions, over a table of the new terms only."""
     language = index.language
-    keys = ["query_id", "clause_no"]
-    rest = [c for c in clauses.columns if c not in (*keys, "term")]
-    plain = clauses.where(~F.col("piped"))
-    tokens = explode_tokens(clauses.where("piped"), language, "term", keys)
-    trimmed = tokens.where("raw is not null").select(*keys, language.trim(F.col("raw")).alias("term")).where("term <> ''")
-    # a few words at most, which the caller's own queries hold
-    done = language.stemmed(trimmed, "term").collect() if some else []
-    piped = clauses.sparkSession.createDataFrame(done, "query_id string, clause_no int, term string")
-    return piped.join(F.broadcast(clauses.select(*keys, *rest)), keys).unionByName(plain.select(*keys, "term", *rest))
+    new = sorted(t for t in terms if (language.code, t) not in _known)
+    if new:
+        if len(_known) > 100_000:
+            _known.clear()
+        df = index.postings.sparkSession.createDataFrame([(t, t) for t in new], "term string, text string")
+        tokens = explode_tokens(df, language, "text", ["term"]).where("raw is not null")
+        trimmed = tokens.select("term", "ord", language.trim(F.col("raw")).alias("word")).where("word <> ''")
+        got: dict[str, list] = {t: [] for t in new}
+        for r in language.stemmed(trimmed, "word").collect():
+            got[r["term"]].append((tuple(r["ord"]), r["word"]))
+        for t, own in got.items():
+            _known[language.code, t] = tuple(w for _, w in sorted(own))
+    return {t: _known[language.code, t] for t in terms}
 
 
 def _expanded(index: Index, terms: DataFrame, kinds: set[str]) -> DataFrame:
@@ -112,9 +121,14 @@ def _kinds(queries: Mapping[str, Query]) -> set[str]:
 def _plan(index: Index, queries: Mapping[str, Query]) -> tuple[DataFrame, DataFrame]:
     """Ranked (query_id, ref, score), and (query_id, clause_no, field, term, times, presence)."""
     spark = index.postings.sparkSession
-    rows = [(k, n, c.presence.value, float(c.boost), c.edit_distance, c.use_pipeline, c.term, list(c.fields)) for k, q in queries.items() for n, c in enumerate(q.clauses)]
-    clauses = spark.createDataFrame(rows, _CLAUSE)
-    found = _expanded(index, _terms(index, clauses, any(r[5] for r in rows)), _kinds(queries) or {"exact"})
+    words = _words(index, {c.term for q in queries.values() for c in q.clauses if c.use_pipeline})
+    rows = [
+        (k, n, c.presence.value, float(c.boost), c.edit_distance, w, list(c.fields))
+        for k, q in queries.items()
+        for n, c in enumerate(q.clauses)
+        for w in (words[c.term] if c.use_pipeline else (c.term,))
+    ]
+    found = _expanded(index, spark.createDataFrame(rows, _CLAUSE), _kinds(queries) or {"exact"})
     hollow = found.where((F.col("presence") == Presence.REQUIRED.value) & F.col("word").isNull()).select("query_id").distinct()
     hit = found.where(F.col("word").isNotNull())
     asked = hit.select("query_id", "clause_no", "presence", F.explode("fields").alias("field"), F.col("word").alias("term"), (F.col("boost") * F.col("times")).alias("boost"), "times")
