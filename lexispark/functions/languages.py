@@ -57,27 +57,21 @@ class Language:
         return (self,)
 
     def units(self, lowered: Column) -> Column:
-        """Array of units that cover the text."""
-        if self.script:
-            pattern = rf"[{self.script}]+|[^{self.script}{_BLANKS}-]+|[{_BLANKS}-]"
-        else:
-            pattern = rf"[^{_BLANKS}-]+|[{_BLANKS}-]"
+        """Array of units that cover a text of a language with a script."""
+        pattern = rf"[{self.script}]+|[^{self.script}{_BLANKS}-]+|[{_BLANKS}-]"
         return F.regexp_extract_all(lowered, F.lit(pattern), F.lit(0))
 
     def tokens_of(self, unit: Column) -> Column:
         """Array of (term, at, length) of a unit; a separator has none."""
-        none = F.filter(F.array(F.struct(unit.alias("term"), F.lit(0).alias("at"), F.length(unit).alias("length"))), lambda x: F.lit(False))
+        none = F.array().cast("array<struct<term:string,at:int,length:int>>")
         whole = F.array(F.struct(unit.alias("term"), F.lit(0).alias("at"), F.length(unit).alias("length")))
-        out = F.when(unit.rlike(rf"^[{_BLANKS}-]\z"), none)
-        if self.script:
-            n = F.length(unit)
+        n = F.length(unit)
 
-            def grams(size: int) -> Column:
-                at = F.when(n >= size, F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-                return F.transform(at, lambda k: F.struct(F.substring(unit, k + 1, F.lit(size)).alias("term"), k.alias("at"), F.lit(size).alias("length")))
+        def grams(size: int) -> Column:
+            at = F.when(n >= size, F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+            return F.transform(at, lambda k: F.struct(F.substring(unit, k + 1, F.lit(size)).alias("term"), k.alias("at"), F.lit(size).alias("length")))
 
-            out = out.when(unit.rlike(rf"^[{self.script}]"), F.concat(grams(1), grams(2)))
-        return out.otherwise(whole)
+        return F.when(unit.rlike(rf"^[{_BLANKS}-]\z"), none).when(unit.rlike(rf"^[{self.script}]"), F.concat(grams(1), grams(2))).otherwise(whole)
 
     def trim(self, term: Column) -> Column:
         """Without marks at its edges; empty if nothing is left."""
@@ -145,7 +139,24 @@ def explode_tokens(df: DataFrame, language: Language, text: str, keys: list[str]
 
     out = None
     for k, part in enumerate(language.parts):
-        units = df.select(*keys, *keep, F.posexplode_outer(part.units(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("_unit_no", "_unit"))
+        lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+        if not part.script:
+            # no scripts: what separators part is a token; a separator is one character
+            pieces = df.select(*keys, *keep, F.posexplode(F.split(lowered, rf"[{_BLANKS}-]", -1)).alias("_no", "_piece"))
+            ahead = Window.partitionBy(*keys).orderBy("_no").rowsBetween(Window.unboundedPreceding, -1)
+            placed = pieces.withColumn("_start", F.coalesce(F.sum(F.length("_piece") + 1).over(ahead), F.lit(0)).cast("int"))
+            full = F.col("_piece") != ""
+            tokens = placed.where(full | (F.col("_no") == 0)).select(
+                *keys,
+                *keep,
+                F.struct(F.lit(k).alias("language"), F.col("_no").alias("unit"), F.lit(0).alias("no")).alias("ord"),
+                F.when(full, F.col("_piece")).alias("raw"),
+                F.col("_start").alias("start"),
+                F.length("_piece").alias("length"),
+            )
+            out = tokens if out is None else out.unionByName(tokens)
+            continue
+        units = df.select(*keys, *keep, F.posexplode_outer(part.units(lowered)).alias("_unit_no", "_unit"))
         before = Window.partitionBy(*keys).orderBy("_unit_no").rowsBetween(Window.unboundedPreceding, -1)
         placed = units.withColumn("_before", F.coalesce(F.sum(F.length("_unit")).over(before), F.lit(0)).cast("int"))
         tokens = placed.select(*keys, *keep, "_unit_no", "_before", F.posexplode_outer(part.tokens_of(F.col("_unit"))).alias("_no", "_token"))
