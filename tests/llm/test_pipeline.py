@@ -2,10 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
-import pytest
-
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-P = pytest.importorskip("public_tokenizers")
+import corpus_pipeline
+import public_tokenizers as P
 
 from test_copies import cut, near_copies  # noqa: E402
 from test_rows import brute_mix  # noqa: E402
