@@ -40,7 +40,7 @@ LANGUAGES = 256
 CLASS_DISTANCE = 0.30
 WORD_EXCESS = 0.13
 #: Words below which a document isn't judged by distance.
-MIN_WORDS = 50
+MIN_WORDS = 75
 
 _ALL = "\0all"  # the reference of all documents; no language has this name
 
