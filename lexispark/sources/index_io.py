@@ -36,7 +36,9 @@ def load(spark: SparkSession, path: str, language: str | Language | None = None)
     """Reads what ``save`` wrote."""
     meta = spark.read.schema("fields array<string>, language string").json(f"{path}/meta").first()
     lang = _language(meta["language"], language)
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/doc_fields"), tuple(meta["fields"]), lang)
+    # a schema of its own: names of fields may look like numbers
+    postings = spark.read.schema(f"term string, doc_ref string, tf long, weight double, positions {_POSITIONS}, field string").parquet(f"{path}/postings")
+    return Index(postings, spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/doc_fields"), tuple(meta["fields"]), lang)
 
 
 def _language(stored: str, given: str | Language | None) -> Language:
