@@ -9,9 +9,13 @@ the references and compares each document's two histograms with those of its
 language by Jensen-Shannon distance, the square root of the divergence in
 bits.  A document below the minimum lengths isn't judged by that comparison.
 
-Languages with fewer than ``LANGUAGE_WORDS`` words, and null, use the
-reference of all documents together; at most ``LANGUAGES`` languages, the
-largest, have one of their own, which bounds what is sent to the workers.
+Every language with a word has a reference of its own, whatever its size, up to
+the ``LANGUAGES`` largest, which bounds what is sent to the workers.  No words
+are compared with a mixture of languages: a document without a language (null
+or empty) is compared with every reference and judged by the one that it fits
+best; one of a language beyond the largest, and all where no row has a
+language, are judged by byte classes only (word_distance 0), against those of
+all documents, with the letters of all scripts as one class.
 
 Nulls are texts without words; they and texts of blanks fail the base rules.
 Repeated rows are judged each; an empty table gives an empty result.
@@ -33,7 +37,6 @@ from .common import partitions_for
 from .kernels import LOWER, Prefix, U64, mix, ranges, row_of, segments, slices, word_spans
 
 COMMON_SHARE = 1 / 1000
-LANGUAGE_WORDS = 20_000
 LANGUAGES = 256
 #: Distances beyond which a document is rejected: of byte classes; and of words,
 #: above the distance that so many words drawn from the reference would have.
@@ -42,7 +45,7 @@ WORD_EXCESS = 0.13
 #: Words below which a document isn't judged by distance.
 MIN_WORDS = 75
 
-_ALL = "\0all"  # the reference of all documents; no language has this name
+_ALL = "\0all"  # the byte classes of all documents; no language has this name
 
 #: Byte classes: small letters, capitals, digits, blanks, sentence marks,
 #: markup symbols, other ASCII, and non-ASCII letters by their first byte.
@@ -57,6 +60,9 @@ CLASSES[[ord(c) for c in "#*$%&|<>!"]] = 5
 CLASSES[128:192] = 8  # continuation bytes aren't counted
 N_CLASSES = 8
 
+#: Where small letters and the letters beyond ASCII are counted together.
+_MERGED = np.array([0, 1, 2, 3, 4, 5, 6, 0])
+
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -144,7 +150,7 @@ def base_counts(buf: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray]
 
 
 def references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict:
-    """The references of all languages: {language: (classes, word hashes, word shares)}."""
+    """The references of all languages: {language: (classes, word hashes, word shares)}; of all documents, the classes."""
     spark = df.sparkSession
     blocks = partitions_for(spark, 0)
 
@@ -206,22 +212,22 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.binary())], names=["lang", "total", "classes"])
 
     heads = heads.mapInArrow(add_classes, "lang string, total long, classes binary")
-    whole = heads.agg(F.sum("total").alias("n")).first()["n"] or 0
-    named = {r["lang"]: (r["total"], np.frombuffer(r["classes"], dtype=np.int64)) for r in heads.where((F.col("total") >= LANGUAGE_WORDS) & (F.col("lang") != "")).orderBy(F.desc("total"), "lang").limit(LANGUAGES).collect()}
+    named = {r["lang"]: (r["total"], np.frombuffer(r["classes"], dtype=np.int64)) for r in heads.where((F.col("total") > 0) & (F.col("lang") != "")).orderBy(F.desc("total"), "lang").limit(LANGUAGES).collect()}
     all_classes = _sum_classes(heads)
-    totals = {x: n for x, (n, _) in named.items()} | {_ALL: whole}
+    totals = {x: n for x, (n, _) in named.items()}
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[str, tuple[list, list]] = {}
         for batch in batches:
             for x, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for name in ([x] if x in totals else []) + [_ALL]:
-                    k, c = parts.setdefault(name, ([], []))
-                    k.append(np.frombuffer(keys, dtype=U64))
-                    c.append(np.frombuffer(counts, dtype=np.int64))
-                    if len(k) >= 64:
-                        u, n = _added(k, c)
-                        parts[name] = ([u], [n])
+                if x not in totals:
+                    continue
+                k, c = parts.setdefault(x, ([], []))
+                k.append(np.frombuffer(keys, dtype=U64))
+                c.append(np.frombuffer(counts, dtype=np.int64))
+                if len(k) >= 64:
+                    u, n = _added(k, c)
+                    parts[x] = ([u], [n])
         for name, (k, c) in parts.items():
             u, n = _added(k, c)
             keep = n >= COMMON_SHARE * totals[name]
@@ -229,12 +235,12 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict:
 
     found = packed.where("block >= 0").select("block", "lang", "keys", "counts").repartition(blocks, "block").select("lang", "keys", "counts").mapInArrow(common, "lang string, word long, n long").collect()
     drop_table(packed)
-    out = {}
+    out = {_ALL: (all_classes / max(1, all_classes.sum()), np.empty(0, dtype=U64), np.empty(0))}
     for name, total in totals.items():
         own = sorted((r["word"], r["n"]) for r in found if r["lang"] == name)
         h = np.array([w for w, _ in own], dtype=np.int64).view(U64)
         order = np.argsort(h)
-        classes = all_classes if name == _ALL else named[name][1]
+        classes = named[name][1]
         share = np.array([n for _, n in own], dtype=np.float64)[order] / max(1, total)
         out[name] = (classes / max(1, classes.sum()), h[order], share)
     return out
@@ -315,22 +321,91 @@ def _chance_distance(n_words: np.ndarray, share: np.ndarray) -> np.ndarray:
     return np.sqrt(upto[rare] / 2 + (len(q) - rare) * each)
 
 
-def _judge(buf: np.ndarray, off: np.ndarray, names: list, refs: dict) -> dict[str, np.ndarray]:
+class _Every:
+    """All languages' references in one look-up: for each common word, who has it and with what share."""
+
+    def __init__(self, refs: dict):
+        self.refs = [r for x, r in refs.items() if x != _ALL]
+        lens = [len(h) for _, h, _ in self.refs]
+        h = np.concatenate([h for _, h, _ in self.refs]) if lens else np.empty(0, dtype=U64)
+        order = np.argsort(h, kind="stable")
+        self.ref = np.repeat(np.arange(len(lens)), lens)[order]
+        self.share = np.concatenate([q for _, _, q in self.refs])[order] if lens else np.empty(0)
+        self.at = segments(h[order])
+        self.hashes = h[order][self.at[:-1]]
+
+    def word_distances(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """``_word_distance`` of each row to each reference: (rows, references)."""
+        shape = n_rows, n_refs = len(first) - 1, len(self.refs)
+        total = np.diff(first)
+        if not len(self.hashes):
+            return np.zeros(shape)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = self.hashes[at] == h
+        k = len(self.hashes)
+        cell, n = np.unique(row_of(first)[hit] * k + at[hit], return_counts=True)
+        r, w = cell // k, cell % k
+        has = self.at[w + 1] - self.at[w]
+        entry = np.repeat(self.at[w], has) + ranges(has)
+        p = np.repeat(n / total[r], has)
+        q = self.share[entry]
+        m = (p + q) / 2
+        to = np.repeat(r, has) * n_refs + self.ref[entry]
+
+        def add(x: np.ndarray) -> np.ndarray:
+            return np.bincount(to, x, n_rows * n_refs).astype(np.float64).reshape(shape)
+
+        shares = np.bincount(self.ref, self.share, n_refs)
+        div = add(_xlog(p, m) + _xlog(q, m)) + shares - add(q)
+        rest_p = np.maximum(0, 1 - add(p))
+        rest_q = np.broadcast_to(np.maximum(0, 1 - shares), shape)
+        m = (rest_p + rest_q) / 2
+        div += _xlog(rest_p, m) + _xlog(rest_q, m)
+        return np.where(total[:, None] > 0, np.sqrt(np.maximum(0, div / 2)), 1.0)
+
+    def best(self, shares: np.ndarray, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class distance, word distance and chance distance of each row to the reference that it fits best."""
+        counts = np.diff(first)
+        word_d = self.word_distances(h, first)
+        class_d = np.stack([js_distance(shares, c) for c, _, _ in self.refs], axis=1)
+        chance = np.stack([_chance_distance(counts, q) for _, _, q in self.refs], axis=1)
+        # within both thresholds of some reference, if of any, of this one
+        at = np.maximum(class_d / CLASS_DISTANCE, (word_d - chance) / WORD_EXCESS).argmin(axis=1)
+        k = np.arange(len(at))
+        return class_d[k, at], word_d[k, at], chance[k, at]
+
+
+def _merged(classes: np.ndarray) -> np.ndarray:
+    """Histograms with the letters of all scripts as one class."""
+    out = np.zeros((len(classes), N_CLASSES - 1))
+    np.add.at(out.T, _MERGED, classes.T)
+    return out
+
+
+def _judge(buf: np.ndarray, off: np.ndarray, names: list, refs: dict, every: _Every) -> dict[str, np.ndarray]:
     out, h, first = base_counts(buf, off)
     n_words = out["n_words"]
     classes = _class_counts(buf, off)
     shares = classes / np.maximum(1, classes.sum(axis=1))[:, None]
-    known = [x if x in refs else _ALL for x in names]
+    # "": to be compared with every reference
+    known = [x if x in refs else _ALL if x or not every.refs else "" for x in names]
     code = {x: k for k, x in enumerate(dict.fromkeys(known))}
     of = np.array([code[x] for x in known])
     class_d, word_d, chance = np.zeros(len(of)), np.zeros(len(of)), np.zeros(len(of))
     for x, k in code.items():
-        ref_classes, hashes, share = refs[x]
         rows = np.flatnonzero(of == k)
-        class_d[rows] = js_distance(shares[rows], ref_classes)
+        if x == _ALL:
+            class_d[rows] = js_distance(_merged(shares[rows]), _merged(refs[x][0][None])[0])
+            continue
         counts = n_words[rows]
         mine = np.repeat(first[rows], counts) + ranges(counts)
-        word_d[rows] = _word_distance(h[mine], np.concatenate([[0], np.cumsum(counts)]), hashes, share)
+        own, upto = h[mine], np.concatenate([[0], np.cumsum(counts)])
+        if not x:
+            class_d[rows], word_d[rows], chance[rows] = every.best(shares[rows], own, upto)
+            continue
+        ref_classes, hashes, share = refs[x]
+        class_d[rows] = js_distance(shares[rows], ref_classes)
+        word_d[rows] = _word_distance(own, upto, hashes, share)
         chance[rows] = _chance_distance(counts, share)
     out["class_distance"], out["word_distance"] = class_d, word_d
     strange = (class_d > CLASS_DISTANCE) | (word_d > chance + WORD_EXCESS)
@@ -348,9 +423,10 @@ def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words.release()
+        every = _Every(shared.value)
         for batch in batches:
             for part, buf, off in slices(batch):
-                got = _judge(buf, off, part.column(1).to_pylist(), shared.value)
+                got = _judge(buf, off, part.column(1).to_pylist(), shared.value, every)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(got[c]) for c, _ in _COLUMNS]], names=[key, *[c for c, _ in _COLUMNS]])
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *[T.StructField(c, t) for c, t in _COLUMNS]])
@@ -365,9 +441,10 @@ def quality_filter(df: DataFrame, text: str = "text", lang: str = "lang", refs:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words.release()
+        every = _Every(shared.value)
         for batch in batches:
             for part, buf, off in slices(batch, text):
-                got = _judge(buf, off, part.column(at).cast(pa.string()).to_pylist(), shared.value)
+                got = _judge(buf, off, part.column(at).cast(pa.string()).to_pylist(), shared.value, every)
                 yield part.filter(pa.array(got["kept"]))
 
     return df.mapInArrow(run, df.schema)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexispark.llm import chat, quality, sharding, vector_search
 from lexispark.llm.mixing import mix, mixed_rows
@@ -68,6 +69,35 @@ def test_quality_divergence(spark):
     assert got[1]["word_distance"] == pytest.approx(math.sqrt(js), abs=1e-6)
 
 
+def prose(rng, letters, n_docs, n):
+    """Documents of an invented language with words of its own."""
+    words = ["".join(rng.choices(letters, k=rng.randrange(2, 7))) for _ in range(60)]
+    return [" ".join(rng.choices(words, weights=range(60, 0, -1), k=n)) for _ in range(n_docs)]
+
+
+def test_quality_of_small_and_unknown_languages(spark, monkeypatch):
+    rng = random.Random(12)
+    big, small, rare = prose(rng, "abcdefgh", 100, 300), prose(rng, "mnopqrst", 20, 100), prose(rng, "ijkluvwx", 8, 60)
+    junk = [" ".join("".join(rng.choices("abcdefghmnopqrst", k=5)) for _ in range(300)), "!! ".join(small[0].upper().split())]
+    texts = [(t, "big") for t in big] + [(t, "small") for t in small] + [(t, "rare") for t in rare]
+    texts += [(t, lang) for t in (big[0], small[0]) for lang in (None, "")] + [(t, None) for t in junk]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    refs = quality.references(df)
+    assert {"big", "small", "rare"} <= refs.keys()
+    got = {r["doc_id"]: r for r in quality.quality_rules(df, refs=refs).collect()}
+    bad = {len(texts) - 2, len(texts) - 1}
+    assert {k for k, r in got.items() if not r["kept"]} == bad
+    # without a language: the distances to the one that fits
+    for k, own in ((128, 0), (129, 0), (130, 100), (131, 100)):
+        assert (got[k]["class_distance"], got[k]["word_distance"]) == pytest.approx((got[own]["class_distance"], got[own]["word_distance"]))
+    # beyond the largest languages, and where there are none: byte classes only
+    monkeypatch.setattr(quality, "LANGUAGES", 1)
+    some = quality.quality_rules(df.where("lang = 'big' or lang = 'small' or lang = 'rare'")).collect()
+    assert all(r["kept"] for r in some) and all(r["word_distance"] == 0 for r in some if r["doc_id"] >= 100)
+    none = {r["doc_id"]: r["kept"] for r in quality.quality_rules(df.withColumn("lang", F.lit(None).cast("string"))).collect()}
+    assert not none.pop(len(texts) - 1) and all(none.values())
+
+
 def test_shards(rows, docs, nothing, keyless, monkeypatch):
     out = sharding.shard(docs).collect()
     total = sum(r["size"] for r in out)
