@@ -7,7 +7,9 @@ language's words (so at most 1 / COMMON_SHARE of them, whatever the corpus).
 Word counts are exchanged once, packed by hash range.  The second pass holds
 the references and compares each document's two histograms with those of its
 language by Jensen-Shannon distance, the square root of the divergence in
-bits.  A document below the minimum lengths isn't judged by that comparison.
+bits.  Documents of every length are judged.  The threshold of words widens for
+short ones by what chance does to their distance; that of classes needn't, as
+chance stays below it for the shortest text that passes the base rules.
 
 Every language with a word has a reference of its own, whatever its size, up to
 the ``LANGUAGES`` largest, which bounds what is sent to the workers.  No words
@@ -42,8 +44,8 @@ LANGUAGES = 256
 #: above the distance that so many words drawn from the reference would have.
 CLASS_DISTANCE = 0.30
 WORD_EXCESS = 0.13
-#: Words below which a document isn't judged by distance.
-MIN_WORDS = 75
+#: Standard deviations of the divergence that chance is granted beyond its mean, besides the excess.
+DEVIATIONS = 1
 
 _ALL = "\0all"  # the byte classes of all documents; no language has this name
 
@@ -308,17 +310,21 @@ def _word_distance(h: np.ndarray, first: np.ndarray, hashes: np.ndarray, share:
 
 
 def _chance_distance(n_words: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """About the distance from the reference of so many words drawn from it.
+    """About the distance from the reference that so many words drawn from it stay below.
 
-    A bin of share q adds 1 / (8 n ln 2) bits to the expected divergence; one
-    too rare to be drawn often adds no more than the q / 2 of its absence.
+    A bin of share q adds 1 / (8 n ln 2) bits to the expected divergence, and
+    twice the square of that to its variance; one too rare to be drawn often
+    adds no more than the q / 2 of its absence, and by being drawn, which adds
+    about 1 / (2 n), q / (4 n) to the variance.
     """
     q = np.sort(np.append(share, max(0.0, 1 - share.sum())))
     upto = np.concatenate([[0], np.cumsum(q)])
     n = np.maximum(1, n_words)
     each = 1 / (8 * math.log(2) * n)
     rare = np.searchsorted(q, 2 * each)
-    return np.sqrt(upto[rare] / 2 + (len(q) - rare) * each)
+    often = len(q) - rare
+    deviation = np.sqrt(upto[rare] / (4 * n) + 2 * often * each**2)
+    return np.sqrt(upto[rare] / 2 + often * each + DEVIATIONS * deviation)
 
 
 class _Every:
@@ -409,7 +415,7 @@ def _judge(buf: np.ndarray, off: np.ndarray, names: list, refs: dict, every: _Ev
         chance[rows] = _chance_distance(counts, share)
     out["class_distance"], out["word_distance"] = class_d, word_d
     strange = (class_d > CLASS_DISTANCE) | (word_d > chance + WORD_EXCESS)
-    out["kept"] = ~out["base_failed"] & ~(strange & (n_words >= MIN_WORDS))
+    out["kept"] = ~out["base_failed"] & ~strange
     return out
 
 

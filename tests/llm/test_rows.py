@@ -98,6 +98,18 @@ def test_quality_of_small_and_unknown_languages(spark, monkeypatch):
     assert not none.pop(len(texts) - 1) and all(none.values())
 
 
+def test_quality_of_short_texts(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 7))) for _ in range(60)]
+    draw = lambda n: " ".join(rng.choices(words, weights=range(60, 0, -1), k=n))
+    texts = [draw(400) for _ in range(60)] + [draw(n) for n in range(20, 75) for _ in range(4)]
+    clean = len(texts)
+    texts += ["".join(w + rng.choice(["%%% ", "&&& ", "### "]) for w in draw(n).split()) for n in (20, 27, 50, 74)]
+    texts += [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n)) for n in (60, 74)]  # words of no language
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    assert {r["doc_id"] for r in quality.quality_rules(df).collect() if not r["kept"]} == set(range(clean, len(texts)))
+
+
 def test_shards(rows, docs, nothing, keyless, monkeypatch):
     out = sharding.shard(docs).collect()
     total = sum(r["size"] for r in out)
