@@ -234,7 +234,7 @@ def _product(blocks: DataFrame, num: int, den: int, n_blocks: int, n_parts: int)
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         part = (mix(ids[i].view(U64).copy()) % U64(n_parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        i, j, n = i[order], j[order], np.minimum(n[order], 65535).astype(np.uint16)
+        i, j, n = i[order], j[order], n[order]
         cut = np.searchsorted(part[order], np.arange(n_parts + 1)).tolist()
         out = []
         for p in range(n_parts):
@@ -242,7 +242,7 @@ def _product(blocks: DataFrame, num: int, den: int, n_blocks: int, n_parts: int)
             if x < y:
                 used, local = np.unique(np.concatenate([i[x:y], j[x:y]]), return_inverse=True)
                 kind = np.uint16 if len(used) < 65536 else np.uint32
-                out.append((p, ids[used].tobytes(), sizes[used].astype(np.int32).tobytes(), local.astype(kind).tobytes(), n[x:y].tobytes()))
+                out.append((p, ids[used].tobytes(), sizes[used].astype(np.int32).tobytes(), local.astype(kind).tobytes(), n[x:y].astype(np.uint16 if n[x:y].max() < 65536 else np.uint32).tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "ids", "sizes", "pairs", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,8 +317,9 @@ def _candidates(cells: DataFrame, num: int, den: int, n_parts: int) -> DataFrame
         rows = []
         for batch in batches:
             for ids, sizes, pairs, n in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
-                i, s, n = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int32), np.frombuffer(n, np.uint16)
+                i, s = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int32)
                 at = np.frombuffer(pairs, np.uint16 if len(i) < 65536 else np.uint32)
+                n = np.frombuffer(n, np.uint16 if len(n) == len(at) else np.uint32)  # two bytes a pair, or four
                 x, y = at[: len(n)], at[len(n) :]
                 rows.append((i[x], i[y], s[x], s[y], n))
         if not rows:

@@ -7,7 +7,7 @@ import pytest
 
 from lexispark.llm.components import components
 from lexispark.llm.kernels import word_spans
-from lexispark.llm.ngram_join import ngram_join
+from lexispark.llm.ngram_join import _candidates, _product, ngram_join
 from lexispark.llm.suffix_array import permuted_lcp, suffix_array
 from lexispark.llm import suffix_dedup as sd
 from lexispark.llm.suffix_dedup import remove_repeats, suffix_dedup
@@ -61,6 +61,21 @@ def test_join_of_a_family(spark):
     assert joined(df) == near_copies(rows)
 
 
+def test_overlaps_beyond_two_bytes(spark):
+    """A block's cell of two sets of 750,000 n-grams, whose prefixes are the same, and a small pair."""
+    m = 750_000
+    rng = np.random.default_rng(3)
+    prefix = np.sort(rng.choice(2**62, m - m * 80 // 100 + 1, replace=False).astype(np.uint64))
+    few = np.arange(3, dtype=np.uint64)
+    h = np.concatenate([prefix, prefix, few, few])
+    row = np.repeat(np.arange(4, dtype=np.uint16), [len(prefix), len(prefix), 3, 3])
+    cls, size = np.array([5, 9, 20, 30], dtype=np.int64), np.array([m, m, 11, 11], dtype=np.int32)
+    blocks = spark.createDataFrame([(0, *(bytearray(x.tobytes()) for x in (h, row, cls, size)))], "block int, h binary, row binary, cls binary, size binary")
+    for n_parts in (1, 4):
+        pairs = _candidates(_product(blocks, 80, 100, 1, n_parts), 80, 100, n_parts)
+        assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(5, 9), (20, 30)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)] + [(7, 7)]
