@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from lexispark.llm.common import drop_table, small_side, table
 
 
+_ROW = "lexispark_row"
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject."""
     from lexispark.llm.quality import quality_filter
@@ -22,15 +25,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: that with the least doc_id.
+    """Keeps one row of each group of near copies: that with the least doc_id, null being the largest.
 
-    Rows that share a doc_id are one document here; rows without one stay.
+    Every row is a document of its own, numbered here, also where doc_ids are
+    shared or null; of rows with a group's least doc_id the first stays.
     """
     from lexispark.llm.ngram_join import ngram_join
 
-    found = ngram_join(docs)
-    gone = table(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    numbered = table(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    found = table(ngram_join(numbered, _ROW).where("n_similar > 0").select(_ROW, "component_id"), "near-copies")
+    keyed = numbered.select(_ROW, "doc_id").join(small_side(found, found.count()), _ROW)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _ROW))
+    stay = keyed.groupBy("component_id").agg(least.alias("least")).select(F.col(f"least.{_ROW}").alias(_ROW))
+    gone = table(found.select(_ROW).join(stay, _ROW, "left_anti"), "gone")
+    return numbered.join(small_side(gone, gone.count()), _ROW, "left_anti").select(*docs.columns)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers as P
+from pyspark.sql import functions as F
 
 from test_copies import cut, near_copies  # noqa: E402
 from test_rows import brute_mix  # noqa: E402
@@ -55,6 +56,20 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert got == +want
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "abcde")
+    rows = [(None, a), (None, a + " more"), (5, b), (5, b), (7, c), (7, d), (6, c + " more"), (None, b + " more"), (None, None), (9, e), (None, ""), (None, e)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = corpus_pipeline.near_copies_stage(spark, df, "")
+    got = Counter(map(tuple, out.collect()))
+    # of the rows without a key either may stay
+    assert got.pop((None, a), 0) + got.pop((None, a + " more"), 0) == 1
+    assert got == Counter([(5, b), (7, d), (6, c + " more"), (None, None), (9, e), (None, "")])
+    left = corpus_pipeline.repeats_stage(spark, out.withColumn("n_chars", F.length("text")), "").collect()
+    assert sum(len(r["text"] or "") > 200 for r in left) == 5
+
+
 def test_stages_keep_the_columns(spark, docs, nothing):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "")
