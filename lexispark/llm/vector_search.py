@@ -19,7 +19,8 @@ longest) each pair of bucket and query block is searched by
 Products are exact: sums of integers that double precision holds; where the
 lengths' product could exceed 2 ** 53, Python's integers are used.
 
-Vectors that are null or hold a null or non-finite component take no part;
+Vectors that are null or hold a null or non-finite component take no part, nor
+do those with a component whose 1024-fold is 2 ** 62 or more either way;
 candidates of another dimension than the query's don't either.  Rows that
 share the query's id are the query's own.  Ties go to the smaller id; with
 fewer than k candidates all are returned.  Scores beyond a long's range are
