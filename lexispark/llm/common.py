@@ -9,29 +9,55 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of (at most a few) longs up to which a side may be broadcast: about 32 MB.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a side may be broadcast; rows are taken at their measured width.
+BROADCAST_BYTES = 24 << 20
+#: What a row of a few longs takes in a broadcast relation, about.
+ROW_BYTES = 48
 
 _made: dict[str, SparkSession] = {}
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; in a session without one (tests) an own."""
+    """The cluster's checkpoint folder; in a local session without one (tests) an own.
+
+    On a cluster a folder of one machine would lose results, so there the
+    setting is required.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="lexispark-"))
     return _own[0]
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a folder or file, and the path in it."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
+def open_folder(uri: str) -> Iterator[pa.NativeFile]:
+    """The Parquet files of a folder, in the order of their names."""
+    fs, root = filesystem(uri)
+    for path in sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")):
+        with fs.open_input_file(path) as f:
+            yield f
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
     path = f"{shared_dir(spark)}/lexispark-{kind}-{uuid.uuid4().hex}"
     _made[path] = spark
@@ -93,9 +119,19 @@ def partitions_for(spark: SparkSession, total_bytes: float, each: int = 64 << 20
     return max(shuffle_partitions(spark), math.ceil(total_bytes / each))
 
 
-def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows are within the limit."""
-    return F.broadcast(df) if rows <= limit else df
+def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its measured bytes are within the limit.
+
+    Strings and binaries are summed; every row counts ``ROW_BYTES`` besides.  A
+    table of fixed-width columns needs its ``rows`` alone, if they are known.
+    """
+    wide = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    if wide or rows is None:
+        length = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(ROW_BYTES)).cast("long")
+        size = df.agg(F.sum(length).alias("b")).first()["b"] or 0
+    else:
+        size = rows * ROW_BYTES
+    return F.broadcast(df) if size <= limit else df
 
 
 def null_safe(a: Column, b: Column) -> Column:

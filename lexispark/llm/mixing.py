@@ -13,7 +13,9 @@ target, so a source misses it by half a document at most (rows of equal key
 have equal hashes and are taken together).
 
 Null texts have size 0; a null source is a source of its own, the last; null
-keys share one hash.  An empty table gives an empty result.
+keys share one hash.  Very long texts are counted whole.  Repeated rows are
+taken together; other columns are passed on or ignored, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small_side, table
+from .common import small_side, table
 
 #: Bits of the hash per level, and levels: 60 bits in all.
 LEVEL_BITS = 12
 LEVELS = 5
+#: Sources up to which one task ranks them; more are ranked in parallel.
+RANKED_ROWS = 100_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,7 +42,7 @@ def key_hash(key: str) -> Column:
 def _ranked(sources: DataFrame, n: int) -> DataFrame:
     """Sources with their 0-based rank by code point, null last."""
     order = [F.col("source").asc_nulls_last()]
-    if n <= BROADCAST_ROWS:  # that many rows in one task at most
+    if n <= RANKED_ROWS:
         return sources.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
     at = sources.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
     return sources.sparkSession.createDataFrame(at, sources.schema.add("rank", "long"))
@@ -77,11 +81,10 @@ def thresholds(docs: DataFrame, targets: DataFrame) -> DataFrame:
         .withColumn("threshold", F.lit(None).cast("long")),
         "plan",
     )
-    n = plan.count()
     for level in range(LEVELS):
         shift = LEVEL_BITS * (LEVELS - 1 - level)
         todo = plan.where("threshold is null").select(F.col("source").alias("s"), "path")
-        inside = docs.where("size > 0").join(small_side(todo, n), F.col("s").eqNullSafe(F.col("source")) & (F.shiftright("h", shift + LEVEL_BITS) == F.col("path")), "left_semi")
+        inside = docs.where("size > 0").join(small_side(todo), F.col("s").eqNullSafe(F.col("source")) & (F.shiftright("h", shift + LEVEL_BITS) == F.col("path")), "left_semi")
         sums = inside.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("size"), F.min("h").alias("first"), F.max("h").alias("last"))
         # at most 2 ** LEVEL_BITS rows a source
         w = Window.partitionBy("source").orderBy("bucket")
@@ -126,8 +129,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     """(key, size, source_size, target, taken) of every row."""
     docs = table(measured(df, key, text, source), "sizes")
     plan = thresholds(docs, source_targets(docs, weights, share, most))
-    n = plan.count()
-    out = docs.join(small_side(plan.withColumnRenamed("source", "s"), n), F.col("s").eqNullSafe(F.col("source")))
+    out = docs.join(small_side(plan.withColumnRenamed("source", "s")), F.col("s").eqNullSafe(F.col("source")))
     copies = F.col("passes") + F.when((F.col("h") <= F.col("threshold")) & (F.col("passes") < most), 1).otherwise(0)
     return out.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"))
 
@@ -136,8 +138,7 @@ def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: s
     """The rows of ``df`` as often as the mix takes them; those without words once a pass."""
     docs = table(measured(df, key, text, source), "sizes")
     plan = thresholds(docs, source_targets(docs, weights, share, most))
-    n = plan.count()
     side = plan.select(F.col("source").alias("__lx_source"), F.col("passes").alias("__lx_passes"), F.col("threshold").alias("__lx_threshold"))
-    out = df.withColumn("__lx_h", key_hash(key)).join(small_side(side, n), F.col("__lx_source").eqNullSafe(F.col(source).cast("string")))
+    out = df.withColumn("__lx_h", key_hash(key)).join(small_side(side), F.col("__lx_source").eqNullSafe(F.col(source).cast("string")))
     copies = F.col("__lx_passes") + F.when((F.col("__lx_h") <= F.col("__lx_threshold")) & (F.col("__lx_passes") < most), 1).otherwise(0)
     return out.withColumn("__lx_n", copies.cast("int")).where("__lx_n > 0").withColumn("__lx_copy", F.explode(F.sequence(F.lit(1), F.col("__lx_n")))).select(*df.columns)
