@@ -1,10 +1,11 @@
 """Chat formatting: heterogeneous layouts to canonical turns to marked text.
 
-A layout is recognised by its *fingerprint*: the hash of its sorted nested
-field paths (array elements are ``[]``), restricted to the names that any
-mapping speaks of, so foreign columns don't matter.  The fingerprint selects
-a declarative mapping, which says where roles and texts are; nothing is
-guessed row by row.
+A layout is recognised by *fingerprints*: hashes of sorted nested field paths
+(array elements are ``[]``).  Of a schema's paths those that a mapping speaks of
+are hashed, and if that is a fingerprint registered for the mapping, it says
+where roles and texts are.  The mapping with the most paths comes first, of
+equal ones the one listed first, so foreign columns don't matter, even if they
+have names that other mappings use.  A layout is looked up once, not row by row.
 
 Canonical turns are formatted as ``<|im_start|>role\\ntext<|im_end|>\\n``.
 Control strings inside texts and roles are escaped: every ``<`` with any
@@ -19,7 +20,9 @@ streamed in order within one partition, never collected, however long.
 
 Null texts and roles are empty; rows without a conversation id form one of
 their own; turns of equal number follow each other by role, then text, and
-repeated rows stay.  An empty table gives an empty result.
+repeated rows stay.  Very long texts are formatted whole.  An empty array of
+turns has no element paths, so JSON values with one are of no known layout.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,7 +86,7 @@ class Mapping:
 
 
 MAPPINGS = (
-    Mapping("turn rows", ("turn", "role", "text"), rows=("conv_id", "turn", "role", "text")),
+    Mapping("turn rows", ("conv_id", "turn", "role", "text"), rows=("conv_id", "turn", "role", "text")),
     Mapping("messages", ("messages", "messages.[]", "messages.[].role", "messages.[].content"), each="messages", role="role", text="content"),
     Mapping("conversations", ("conversations", "conversations.[]", "conversations.[].from", "conversations.[].value"), each="conversations", role="from", text="value"),
     Mapping("turns", ("turns", "turns.[]", "turns.[].speaker", "turns.[].text"), each="turns", role="speaker", text="text"),
@@ -92,13 +96,10 @@ MAPPINGS = (
     Mapping("question", ("question", "answer"), fixed=(("user", "question"), ("assistant", "answer"))),
 )
 
-_NAMES = {p.split(".")[-1] for m in MAPPINGS for p in m.paths}
 
-
-def fingerprint(paths: set[str]) -> str:
-    """Hash of the nested paths whose names mappings speak of."""
-    own = sorted(p for p in paths if all(x in _NAMES for x in p.split(".")))
-    return hashlib.sha256("\n".join(own).encode("utf-8")).hexdigest()[:16]
+def fingerprint(paths: set[str] | frozenset[str]) -> str:
+    """Hash of nested paths, in order."""
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8")).hexdigest()[:16]
 
 
 def _registry() -> dict[str, Mapping]:
@@ -112,6 +113,16 @@ def _registry() -> dict[str, Mapping]:
 REGISTRY = _registry()
 
 
+@lru_cache(maxsize=10_000)
+def layout_of(paths: frozenset[str]) -> tuple[str, Mapping | None]:
+    """The fingerprint that selects a mapping, and the mapping; of unknown layouts that of all paths."""
+    for m in sorted(MAPPINGS, key=lambda m: m.optional - len(m.paths)):
+        sign = fingerprint(paths & set(m.paths))
+        if REGISTRY.get(sign) is m:
+            return sign, m
+    return fingerprint(paths), None
+
+
 def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
     """Nested field paths of a Spark type."""
     out: set[str] = set()
@@ -165,8 +176,7 @@ def canonical_json(df: DataFrame, column: str, key: str) -> DataFrame:
                     value = json.loads(raw) if raw is not None else None
                 except ValueError:
                     value = None
-                sign = fingerprint(value_paths(value)) if isinstance(value, dict) else None
-                m = REGISTRY.get(sign)
+                sign, m = layout_of(frozenset(value_paths(value))) if isinstance(value, dict) else (None, None)
                 known = m is not None and not m.rows
                 turns = [{"role": r, "text": t} for r, t in turns_of(value, m)] if known else None
                 out.append((k, sign, m.name if known else None, turns))
@@ -180,7 +190,7 @@ def canonical_json(df: DataFrame, column: str, key: str) -> DataFrame:
 
 def canonical_rows(df: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) of a table whose own schema is a known layout."""
-    m = REGISTRY.get(fingerprint(schema_paths(df.schema)))
+    _, m = layout_of(frozenset(schema_paths(df.schema)))
     if m is None:
         raise ValueError(f"unknown layout: {sorted(schema_paths(df.schema))}")
     if m.rows:
