@@ -9,9 +9,14 @@ overlap.  Where an overlap has no such boundary it is doubled and the chunk
 encoded again, in the end with all of the rest of the text, so the count is
 always that of the whole text.  A worker holds one chunk's tokens at a time.
 
+Texts up to a chunk are counted whole: where the tokenizer's settings prove
+that words are encoded independently, as the sum of their words' counts from
+the worker's bounded table (the library counts what isn't in it), else by the
+library at once.
+
 Nulls count as empty texts (0 tokens).  Repeated rows are counted each; an
-empty table gives an empty result; other columns are passed through unless
-they clash with an output column, which replaces them.
+empty table gives an empty result.  Only the key and the text are read; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -103,13 +108,15 @@ def _splice(enc, text: str, left: tuple, left_at: int, right: tuple, right_at: i
     return p if same else None
 
 
-def count_long(enc, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
-    """Tokens of a text of any length, never encoding more than a chunk at once unless it must."""
+def count_long(enc, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> tuple[int, int]:
+    """Tokens of a text of any length, never encoding more than a chunk at once unless it must;
+    and the encodings it took, those of widened overlaps included."""
     n = len(text)
     if n <= chunk or not enc.stable:
-        return len(enc.encode(text)[0])
+        return len(enc.encode(text)[0]), 1
     start, end = 0, chunk
     left = enc.encode(text[:end])
+    done = 1
     total, since = 0, 0  # tokens that begin before ``since`` are counted already
     while end < n:
         wide = overlap
@@ -121,12 +128,14 @@ def count_long(enc, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_
             if at < end:
                 to = min(n, at + chunk)
                 right = enc.encode(text[at:to])
+                done += 1
                 p = _splice(enc, text, left, start, right, at, end)
                 if p is not None and p > since:
                     break
             if end - wide <= start:  # no boundary in all of this chunk: widen it to the right
                 end = min(n, end + wide)
                 left = enc.encode(text[start:end])
+                done += 1
                 if end == n:
                     break
             wide *= 2
@@ -136,13 +145,14 @@ def count_long(enc, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_
         total += int(((begins >= since) & (begins < p)).sum())
         since, start, end, left = p, at, to, right
     begins = left[1] + start + enc.shift * (left[1] > 0)
-    return total + int((begins >= since).sum())
+    return total + int((begins >= since).sum()), done
 
 
 def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 2048, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit, n_chunks) of every row.
 
-    ``n_chunks`` is 1 for texts encoded at once.  Map-side only: no shuffle.
+    ``n_chunks`` counts the encodings that a text took, 1 for those counted at
+    once.  Map-side only: no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +169,7 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
             chunks = np.ones(len(sizes), dtype=np.int64)
             for i in long:
                 t = raw[off[i] : off[i + 1]].decode("utf-8")
-                n_tokens[i] = count_long(enc, t, chunk_chars, overlap_chars)
-                chunks[i] = max(1, -(-(len(t) - overlap_chars) // (chunk_chars - overlap_chars)))
+                n_tokens[i], chunks[i] = count_long(enc, t, chunk_chars, overlap_chars)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(n_tokens), pa.array(n_tokens > limit), pa.array(chunks)], names=[key, "n_bytes", "n_tokens", "over_limit", "n_chunks"])
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()), T.StructField("n_chunks", T.LongType())])

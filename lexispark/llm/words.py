@@ -8,6 +8,7 @@ itself encodes every word that isn't in it.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -61,6 +62,16 @@ def vocabulary_size(path: str) -> int:
     return max(tok.get_vocab(with_added_tokens=True).values()) + 1 if path.endswith(".json") else tok.get_piece_size()
 
 
+def _settings(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def _normalizers(path: str) -> list[dict]:
+    norm = _settings(path).get("normalizer")
+    return norm.get("normalizers", [norm]) if norm else []
+
+
 def splits_at_space(path: str) -> bool:
     """Whether the file's own settings prove that words are encoded independently.
 
@@ -71,13 +82,8 @@ def splits_at_space(path: str) -> bool:
     """
     if not path.endswith(".json"):
         return False
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        j = json.load(f)
-    norm = j.get("normalizer")
-    parts = norm.get("normalizers", [norm]) if norm else []
-    if any(p["type"] not in ("NFC", "Lowercase") and not (p["type"] == "Replace" and p["pattern"] == {"Regex": "\\s+"} and p["content"] == " ") for p in parts):
+    j = _settings(path)
+    if any(p["type"] not in ("NFC", "Lowercase") and not (p["type"] == "Replace" and p["pattern"] == {"Regex": "\\s+"} and p["content"] == " ") for p in _normalizers(path)):
         return False
     pre = j.get("pre_tokenizer") or {}
     split = (pre.get("pretokenizers") or [pre])[0]
@@ -113,8 +119,7 @@ class WordTable(dict):
         self.tokenizer, self.make, self.join = load(path), make, join
         self.stems: dict[str, object] = {}
         self.tails: dict[str, object] = {"": make([])}
-        with open(path, encoding="utf-8") as f:
-            self.lower = str.lower if '"Lowercase"' in f.read(4000) else str
+        self.lower = str.lower if "Lowercase" in [p["type"] for p in _normalizers(path)] else str
 
     def __missing__(self, word: bytes):
         text = word.decode("utf-8")
