@@ -14,8 +14,9 @@ number plus its place in its range, and no shard is ever in one task: there
 are as many ranges a shard as its rows need.
 
 Law: ``bytes``.  Null texts have no bytes and one hash; null keys come first;
-rows equal in text and key go to the same shard.  An empty table gives an
-empty result.
+rows equal in text and key go to the same shard.  A very long text is one row
+of its size.  Other columns are ignored, whatever their names, but those to
+``keep``.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -98,33 +99,62 @@ def _split(rows: DataFrame, targets: list[float], tolerance: float, total: tuple
     return done
 
 
-def splitters(docs: DataFrame, n_ranges: int, n_shards: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """Sorted (text hash, key) boundaries between ranges, as unsigned numbers; rows below each."""
+def splitters(docs: DataFrame, n_ranges: int, n_shards: int, tolerance: float = TOLERANCE, group_tolerance: float = GROUP_TOLERANCE) -> tuple[list[tuple[int, int]], list[int]]:
+    """Sorted (hash, d) boundaries between ranges of (hash, d, size), as unsigned numbers; rows below each."""
     total, n = docs.agg(F.sum("size"), F.count("*")).first()
     if not n:
         return [], []
-    tolerance = TOLERANCE * total / n_shards
+    tolerance *= total / n_shards
     targets = [total * k / n_ranges for k in range(1, n_ranges)]
     got = []
+    hot: dict[int, list] = {}  # by text: what is to be split by key
     for target, s in zip(targets, _split(docs.select("hash", "size"), targets, tolerance, (total, n))):
         if "at" in s:
             got.append(((s["at"], 0), s["below"][1]))
             continue
         (below, rows), (upto, rows_upto) = s["below"], s["upto"]
         edge = min((target - below, (s["value"], 0), rows), (upto - target, (s["value"] + 1, 0), rows_upto))
-        if edge[0] > GROUP_TOLERANCE * total / n_shards:
-            # one text's copies: split them by key
-            signed = (s["value"] ^ (1 << 63)) - (_TOP if s["value"] ^ (1 << 63) >= 1 << 63 else 0)
-            copies = docs.where(F.col("hash") == F.lit(signed)).select("d", "size")
-            t = _split(copies, [target - below], tolerance, (upto - below, rows_upto - rows))[0]
+        if edge[0] > group_tolerance * total / n_shards:
+            hot.setdefault(s["value"], []).append((target, edge, s))
+        else:
+            got.append((edge[1], edge[2]))
+    for value, asked in hot.items():
+        # one text's copies: all their splitters are refined in the same scans
+        signed = (value ^ (1 << 63)) - (_TOP if value ^ (1 << 63) >= 1 << 63 else 0)
+        copies = docs.where(F.col("hash") == F.lit(signed)).select("d", "size")
+        (below, rows), (upto, rows_upto) = asked[0][2]["below"], asked[0][2]["upto"]
+        found = _split(copies, [target - below for target, _, _ in asked], tolerance, (upto - below, rows_upto - rows))
+        for (target, edge, _), t in zip(asked, found):
             ends = [(t["at"], t["below"])] if "at" in t else [(t["value"], t["below"]), (t["value"] + 1, t["upto"])]
             for d, (b, r) in ends:
-                edge = min(edge, (abs(below + b - target), (s["value"], min(d, _TOP - 1)), rows + r))
-        got.append((edge[1], edge[2]))
+                edge = min(edge, (abs(below + b - target), (value, min(d, _TOP - 1)), rows + r))
+            got.append((edge[1], edge[2]))
     got.sort()
     return [g[0] for g in got], [g[1] for g in got]
 
 
+def placed(cuts: list[tuple[int, int]]):
+    """A function of (hash, d): the range they are in."""
+    hs, ds = np.array([h for h, _ in cuts], dtype=U64), np.array([d for _, d in cuts], dtype=U64)
+
+    @F.pandas_udf("int")
+    def place(hash_, d):
+        import pandas as pd
+
+        h, x = _unsigned(hash_.to_numpy().copy()), _unsigned(d.to_numpy().copy())
+        out = np.searchsorted(hs, h, side="left")
+        # past boundaries of equal hash as long as d isn't below theirs
+        while True:
+            more = out < len(hs)
+            at = np.minimum(out, max(0, len(hs) - 1))
+            more = more & (hs[at] == h) & (ds[at] <= x) if len(hs) else more
+            if not more.any():
+                return pd.Series(out.astype(np.int32))
+            out = out + more
+
+    return place
+
+
 def shard(df: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", keep: tuple = ()) -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard, *keep) of every row."""
     docs = table(
@@ -143,23 +173,7 @@ def shard(df: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "te
     n_ranges = n_shards * per
     cuts, below = splitters(docs, n_ranges, n_shards)
     below = [0, *below]
-    hs, ds = np.array([h for h, _ in cuts], dtype=U64), np.array([d for _, d in cuts], dtype=U64)
-
-    @F.pandas_udf("int")
-    def place(hash_, d):
-        import pandas as pd
-
-        h, x = _unsigned(hash_.to_numpy().copy()), _unsigned(d.to_numpy().copy())
-        out = np.searchsorted(hs, h, side="left")
-        # past boundaries of equal hash as long as the key isn't below theirs
-        while True:
-            more = out < len(hs)
-            at = np.minimum(out, max(0, len(hs) - 1))
-            more = more & (hs[at] == h) & (ds[at] <= x) if len(hs) else more
-            if not more.any():
-                return pd.Series(out.astype(np.int32))
-            out = out + more
-
+    place = placed(cuts)
     ranged = docs.withColumn("range", place("hash", "d")).repartitionById(n_ranges, F.col("range")).sortWithinPartitions("range", "hash", "d")
     kept = [f for f in docs.schema.fields if f.name in keep]
     names = ["key", "size", "text_crc32", *[f.name for f in kept], "shard", "slot"]
