@@ -1,20 +1,26 @@
 """Token-id files: Parquet list columns in key order, with selective reads.
 
-Texts are encoded where they are read; only ids travel.  Keys are split into
-ranges of about equal token counts from a bounded quantile summary of the key
-column, so one exchange puts every range into one task, which writes one file.
+Texts are encoded where they are read; only ids travel.  The order of (key,
+hash of the text) is cut into ranges of about equal bytes of text, by exact
+histograms of candidate boundaries (``sharding``), so one exchange puts every
+range into one task, which writes one file, and texts that share a key don't
+meet in one.  Keys that aren't integers are ranged by Spark's own sampling; then
+the texts travel.
 
 Format: per document ``key``, ``start`` (ids before it in its file),
 ``n_tokens`` and ``ids`` (list of uint32).  Keys, starts and lengths are
 delta encoded; ids are delta encoded integers under Zstandard; row groups
-end at ``group_tokens`` ids or ``group_rows`` documents, and page indexes let
-a reader fetch metadata or a few documents' ids without the rest.
+end at ``GROUP_TOKENS`` ids or ``GROUP_ROWS`` documents.  ``token_index`` reads
+metadata without ids; ``read_documents`` reads the ids of a few keys, skipping
+row groups by their statistics and pages by the page indexes.
 
 A task writes to a name of its own and reports it only when the file is
 complete, so a lost or repeated task leaves no half file in the result.
 
-Nulls count as empty texts (the end id alone).  A null key comes last; rows
-of equal key are ordered by their ids.  An empty table gives no files.
+Nulls count as empty texts (the end id alone).  Null keys come last; rows of
+equal key follow each other in an order of their own.  Very long texts are
+encoded whole.  Only the key and the text are read; other columns are ignored,
+whatever their names.  An empty table gives no files.
 """
 
 from __future__ import annotations
@@ -26,18 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .common import new_path, partitions_for, table
+from .common import drop_table, filesystem, new_path, partitions_for, table
 from .kernels import buffers
+from .sharding import placed, splitters
 
 GROUP_ROWS = 4096
 GROUP_TOKENS = 1 << 21
+#: Bytes of text whose ids make a file, about.
+FILE_TEXT = 256 << 20
 
 FILE_SCHEMA = "part int, file string, n_rows long, n_tokens long"
 
@@ -50,7 +58,7 @@ class _Writer:
     """One file; row groups of bounded rows and ids."""
 
     def __init__(self, folder: str, part: int, key_type: pa.DataType):
-        self.fs, root = pafs.FileSystem.from_uri(folder)
+        self.fs, root = filesystem(folder)
         self.fs.create_dir(root)
         self.path = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.parquet"
         self.file = f"{folder}/{os.path.basename(self.path)}"
@@ -132,21 +140,27 @@ def write_token_files(df: DataFrame, path: str, folder: str | None = None, key:
                     done += 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, done - first), batch.column(1).slice(first, done - first), pa.array(out, pa.binary())], names=["part", "key", "ids"])
 
-    n_parts = None
-    bounds: list = []
-    if isinstance(key_type, (T.LongType, T.IntegerType, T.ShortType)):
-        size = F.coalesce(F.octet_length(text), F.lit(0)) + 1
-        stats = df.agg(F.sum(size).alias("b")).first()
-        n_parts = partitions_for(spark, stats["b"] or 0)
-        if n_parts > 1:
-            got = df.agg(F.percentile_approx(key, [k / n_parts for k in range(1, n_parts)], 10 * n_parts).alias("q")).first()["q"]
-            bounds = sorted(set(got or []))
-    part = F.lit(0)
-    if bounds:
-        # position of the key among the bounds; nulls last
-        part = F.when(F.col(key).isNull(), len(bounds)).otherwise(F.size(F.filter(F.lit(bounds).cast(T.ArrayType(T.LongType())), lambda b: b <= F.col(key))) if len(bounds) <= 64 else _searched(bounds)(F.col(key)))
-    encoded = df.select(part.cast("int").alias("part"), F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(encode, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("key", key_type), T.StructField("ids", T.BinaryType())]))
-    ranged = encoded.repartitionById(len(bounds) + 1, F.col("part")) if bounds else encoded.repartition(1)
+    row = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("key", key_type), T.StructField("ids", T.BinaryType())])
+    own = F.col(key)
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+    x, d = own.cast("long"), F.xxhash64(text)
+    if isinstance(key_type, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        rows = table(df.select(x.alias("hash"), d.alias("d"), size.alias("size")), "sizes")
+        some, none = rows.where("hash is not null"), rows.where("hash is null")
+        n_some, n_none = (partitions_for(spark, t.agg(F.sum("size")).first()[0] or 0, FILE_TEXT) for t in (some, none))
+        n_none = n_none if none.limit(1).count() else 0
+        # of texts that share a key, too, no file gets more than its part
+        cuts, _ = splitters(some, n_some, n_some, 0.02, 0.1)
+        drop_table(rows)
+        at = placed(cuts)(F.coalesce(x, F.lit(0)), d)
+        if n_none:
+            at = F.when(own.isNull(), len(cuts) + 1 + F.pmod(d, F.lit(n_none))).otherwise(at)
+        encoded = df.select(at.cast("int").alias("part"), own.alias("key"), F.col(text).alias("text")).mapInArrow(encode, row)
+        ranged = encoded.repartitionById(len(cuts) + 1 + n_none, F.col("part"))
+    else:
+        n_parts = partitions_for(spark, df.agg(F.sum(size)).first()[0] or 0, FILE_TEXT)
+        ranged = df.select(own.alias("key"), F.col(text).alias("text")).repartitionByRange(n_parts, F.col("key").asc_nulls_last(), F.xxhash64("text"))
+        ranged = ranged.select(F.spark_partition_id().alias("part"), "key", "text").mapInArrow(encode, row)
     ordered = ranged.sortWithinPartitions(F.col("part"), F.col("key").asc_nulls_last(), F.col("ids"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,22 +183,9 @@ def write_token_files(df: DataFrame, path: str, folder: str | None = None, key:
     return table(ordered.mapInArrow(write, FILE_SCHEMA), "token-files")
 
 
-def _searched(bounds: list):
-    """Range of a key among many bounds: a vectorised binary search."""
-    import pandas as pd
-
-    at = np.array(bounds, dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def search(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(at, keys.fillna(0).to_numpy(dtype=np.int64), side="right").astype(np.int32))
-
-    return search
-
-
 def read_ids(file: str, columns: list[str], rows: list[int] | None = None) -> Iterator[pa.RecordBatch]:
     """Chosen columns, and row groups if given, of one file."""
-    fs, path = pafs.FileSystem.from_uri(file)
+    fs, path = filesystem(file)
     with fs.open_input_file(path) as f:
         pf = pq.ParquetFile(f)
         for g in rows if rows is not None else range(pf.num_row_groups):
@@ -223,6 +224,12 @@ def read_token_digests(files: DataFrame, key: str = "doc_id", key_type: T.DataTy
     return todo.mapInArrow(read, schema)
 
 
+def read_documents(spark: SparkSession, files: DataFrame, keys: list) -> DataFrame:
+    """(key, n_tokens, ids) of the given keys: a filter that the scan applies to row groups and pages."""
+    paths = [r["file"] for r in files.select("file").collect()]
+    return spark.read.parquet(*paths).where(F.col("key").isin(keys)).select("key", "n_tokens", "ids")
+
+
 def token_index(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Metadata alone (key, start, n_tokens): the ids' column chunks aren't read."""
     paths = [r["file"] for r in files.select("file").collect()]
