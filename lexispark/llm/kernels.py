@@ -1,8 +1,12 @@
 """Vectorised kernels over the UTF-8 buffers of Arrow string columns.
 
 All work on a slice of rows: a byte buffer and row offsets.  Rows without a
-text count as empty.  Hashes are 64-bit polynomial prefix hashes, so that the
-hash of any byte range costs two look-ups, whatever its length.
+text count as empty.
+
+Words are hashed one by one (XXH3, 64 bits), and runs of words by mixing at
+every step, so that regular texts don't collide.  ``Prefix`` has 64-bit
+polynomial hashes of any byte range, which regular texts can make collide: it
+only serves to bring together what is compared byte by byte afterwards.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
@@ -100,6 +105,25 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         k = e
 
 
+def word_hashes(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A hash of each word of all rows, in order; ``bytes.split`` cuts at the same blanks as ``word_spans``."""
+    raw, o = buf.tobytes(), off.tolist()
+    found: list[bytes] = []
+    for a, b in zip(o[:-1], o[1:]):
+        found += raw[a:b].split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=U64, count=len(found))
+
+
+def chained(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every ``n`` hashes in a row."""
+    out = mix(h[: max(0, len(h) - n + 1)].copy())
+    for k in range(1, n):
+        out *= U64(0x9E3779B97F4A7C15)
+        out += h[k : len(out) + k]
+        mix(out)
+    return out
+
+
 def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of all rows; index of each row's first word, and the total."""
     n = len(buf)

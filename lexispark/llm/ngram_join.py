@@ -5,7 +5,7 @@ row with a multiplicity) and a column per n-gram.  Its product with its own
 transpose, cell by cell the overlap of two sets, is never formed as a whole:
 
 1.  Sets and sizes are made where texts are read; equal sets collapse to
-    classes.  The same pass fills a count sketch of fixed size, which orders
+    classes.  The same pass fills a count sketch of bounded size, which orders
     all n-grams from rare to common.
 2.  Only a size-derived prefix of each row in that order goes to the blocks,
     which are hash ranges of columns: a pair at the threshold must share
@@ -26,7 +26,9 @@ the prefixes; a task sees a block, a tile, or a slice of texts.
 Nulls and texts without words have no n-grams and are linked with nothing:
 n_similar 0, component_id their own key.  Rows with equal keys are documents
 of their own with the same component.  Keys must be integers; a null key
-joins its class, whose component_id is the least key that isn't null.
+joins its class, whose component_id is the least key that isn't null.  A very
+long text is a row like any other.  Only the key and the text are read; other
+columns are ignored, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,10 +46,12 @@ from pyspark.sql import types as T
 from . import words
 from .common import drop_table, shuffle_partitions, small_side, table
 from .components import components
-from .kernels import LOWER, Prefix, U64, mix, ranges, row_of, segments, slices, word_spans
+from .kernels import LOWER, U64, chained, mix, ranges, segments, slices, word_hashes, word_spans
 
-#: 4 * 2 ** SKETCH_BITS bytes: the sketch's fixed size.
-SKETCH_BITS = 20
+#: A sketch has 2 ** 20 counts up to SKETCH_TEXT bytes of text, twice as many for twice as
+#: much, and 2 ** 24 at most: a byte each where it is sent, four where it is made.
+SKETCH_BITS = (20, 24)
+SKETCH_TEXT = 1 << 30
 #: Bytes of a block's incidences, about.
 BLOCK_BYTES = 32 << 20
 #: Candidate cells of a tile, about.
@@ -57,16 +61,10 @@ TILE_PAIRS = 100_000
 def shingle_rows(buf: np.ndarray, off: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-gram hashes of each row, and where each row's begin."""
     buf = LOWER[buf]
-    starts, ends, first = word_spans(buf, off)
-    h = Prefix(buf).of(starts, ends)
+    _, _, first = word_spans(buf, off)
+    h = word_hashes(buf, off)
     sizes = np.diff(first)
-    total = len(h)
-    g = np.zeros(max(0, total - n + 1), dtype=U64)
-    if len(g):
-        g = h[: len(g)].copy()
-        for k in range(1, n):
-            g = g * U64(0x9E3779B97F4A7C15) + h[k : len(g) + k]
-        mix(g)
+    g = chained(h, n)
     rows = []
     f = first.tolist()
     for r, size in enumerate(sizes.tolist()):
@@ -79,10 +77,7 @@ def shingle_rows(buf: np.ndarray, off: np.ndarray, n: int = 5) -> tuple[np.ndarr
                 np.not_equal(x[1:], x[:-1], out=keep[1:])
                 x = x[keep]
         elif size:
-            acc = 0x51ED270B0 + size
-            for v in h[f[r] : f[r] + size].tolist():
-                acc = (acc * 0x9E3779B97F4A7C15 + v) & 0xFFFFFFFFFFFFFFFF
-            x = mix(np.array([acc], dtype=U64))
+            x = np.array([xxhash.xxh3_64_intdigest(h[f[r] : f[r] + size].tobytes(), size)], dtype=U64)
         else:
             x = g[:0]
         rows.append(x)
@@ -151,7 +146,8 @@ def _large(b: bytes) -> np.ndarray:
 
 
 def _add_sketches(parts: DataFrame, bits: int) -> np.ndarray:
-    """The sum of all tasks' sketches; the driver gets 2 ** bits counts, whatever the corpus."""
+    """The sum of all tasks' sketches in steps of an eighth of a doubling, a byte each; the driver
+    gets 2 ** bits of them."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -160,10 +156,11 @@ def _add_sketches(parts: DataFrame, bits: int) -> np.ndarray:
                 got = _large(x).astype(np.uint64)
                 held[b] = held[b] + got if b in held else got
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([_small(np.minimum(v, 0xFFFFFFFF)) for v in held.values()], pa.binary())], names=["block", "sketch"])
+            steps = [np.minimum(255, 8 * np.log2(v + 1.0)).astype(np.uint8) for v in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([_small(v) for v in steps], pa.binary())], names=["block", "sketch"])
 
     got = parts.repartition(16, "block").mapInArrow(add, "block int, sketch binary").collect()
-    out = np.zeros(1 << bits, dtype=np.uint32)
+    out = np.zeros(1 << bits, dtype=np.uint8)
     step = len(out) // 16
     for r in got:
         out[r["block"] * step : (r["block"] + 1) * step] = _large(bytes(r["sketch"]))
@@ -441,9 +438,13 @@ def _exact(pairs: DataFrame, classes: DataFrame, df: DataFrame, key: str, text:
     return rows.mapInArrow(count, "kind byte, a long, b long")
 
 
-def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, sketch_bits: int | None = None) -> DataFrame:
     """(key, n_shingles, n_similar, component_id) of every row, linked at Jaccard num/den."""
     spark = df.sparkSession
+    if sketch_bits is None:
+        size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        low, high = SKETCH_BITS
+        sketch_bits = min(high, low + max(0, math.ceil(math.log2(max(1, size) / SKETCH_TEXT))))
     first = table(_sets(df, key, text, n, sketch_bits), "sets")
     docs = first.where("block is null").select("key", "n_shingles", "cls")
     sketch = spark.sparkContext.broadcast(_add_sketches(first.where("block is not null").select("block", "sketch"), sketch_bits))
@@ -462,6 +463,7 @@ def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     least = parts.join(copies.select("cls", "rep"), "cls").groupBy("root").agg(F.min("rep").alias("least"))
     linked = parts.join(least, "root").join(near, "cls").select("cls", "near", "least")
     verdict = table(copies.join(linked, "cls", "left").select("cls", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("similar"), F.coalesce("least", "rep").alias("component")).where("similar > 0"), "verdict")
-    size = verdict.count()
-    out = docs.join(small_side(verdict, size), "cls", "left")
+    # rows without a class meet nothing, and stay out of the join
+    known = docs.where("cls is not null").join(small_side(verdict, verdict.count()), "cls", "left").select("key", "n_shingles", "similar", "component")
+    out = known.unionByName(docs.where("cls is null").select("key", "n_shingles", F.lit(0).alias("similar"), F.col("key").alias("component")))
     return out.select(F.col("key").alias(key), "n_shingles", F.coalesce("similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "key").alias("component_id"))

@@ -1,7 +1,7 @@
 """Quality rules: base counts and divergence from language references.
 
 Two passes over whole texts.  The first makes a reference of every language
-from *all* its documents: a histogram of byte classes, and one of its common
+from *all* its documents: a histogram of character classes, and one of its common
 words, which are the words that make up at least ``COMMON_SHARE`` of the
 language's words (so at most 1 / COMMON_SHARE of them, whatever the corpus).
 Word counts are exchanged once, packed by hash range.  The second pass holds
@@ -16,11 +16,13 @@ the ``LANGUAGES`` largest, which bounds what is sent to the workers.  No words
 are compared with a mixture of languages: a document without a language (null
 or empty) is compared with every reference and judged by the one that it fits
 best; one of a language beyond the largest, and all where no row has a
-language, are judged by byte classes only (word_distance 0), against those of
+language, are judged by character classes only (word_distance 0), against those of
 all documents, with the letters of all scripts as one class.
 
 Nulls are texts without words; they and texts of blanks fail the base rules.
-Repeated rows are judged each; an empty table gives an empty result.
+Repeated rows are judged each, very long texts whole.  Other columns are ignored
+(``quality_filter`` passes them on), whatever their names.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -35,22 +37,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .common import partitions_for
-from .kernels import LOWER, Prefix, U64, mix, ranges, row_of, segments, slices, word_spans
+from .common import drop_table, partitions_for, table
+from .kernels import LOWER, U64, chained, mix, ranges, row_of, segments, slices, word_hashes, word_spans
 
 COMMON_SHARE = 1 / 1000
 LANGUAGES = 256
-#: Distances beyond which a document is rejected: of byte classes; and of words,
+#: Distances beyond which a document is rejected: of character classes; and of words,
 #: above the distance that so many words drawn from the reference would have.
 CLASS_DISTANCE = 0.30
 WORD_EXCESS = 0.13
 #: Standard deviations of the divergence that chance is granted beyond its mean, besides the excess.
 DEVIATIONS = 1
 
-_ALL = "\0all"  # the byte classes of all documents; no language has this name
+_ALL = "\0all"  # the character classes of all documents; no language has this name
 
-#: Byte classes: small letters, capitals, digits, blanks, sentence marks,
-#: markup symbols, other ASCII, and non-ASCII letters by their first byte.
+#: Classes of characters, each told by its first byte: small letters, capitals, digits,
+#: blanks, sentence marks, markup symbols, other ASCII, and all beyond ASCII.
 CLASSES = np.full(256, 7, dtype=np.int64)
 CLASSES[:128] = 6
 CLASSES[97:123] = 0
@@ -61,6 +63,7 @@ CLASSES[[ord(c) for c in ".,;:'\"-()?"]] = 4
 CLASSES[[ord(c) for c in "#*$%&|<>!"]] = 5
 CLASSES[128:192] = 8  # continuation bytes aren't counted
 N_CLASSES = 8
+_SUMS = [f"c{k}" for k in range(N_CLASSES)]
 
 #: Where small letters and the letters beyond ASCII are counted together.
 _MERGED = np.array([0, 1, 2, 3, 4, 5, 6, 0])
@@ -90,9 +93,7 @@ def _repeat_words(hashes: np.ndarray, first: np.ndarray, width: int = 8) -> np.n
     out = np.zeros(n_rows, dtype=np.int64)
     if n < width:
         return out
-    h = hashes[: n - width + 1].copy()
-    for k in range(1, width):
-        h = h * U64(0x9E3779B97F4A7C15) + hashes[k : n - width + 1 + k]
+    h = chained(hashes, width)
     row = row_of(first)
     starts = np.flatnonzero(row[: n - width + 1] == row[width - 1 :])
     if not len(starts):
@@ -114,27 +115,20 @@ def _repeat_words(hashes: np.ndarray, first: np.ndarray, width: int = 8) -> np.n
     return _per_row(np.cumsum(cover)[:-1] > 0, first)
 
 
-def _dup_lines(buf: np.ndarray, off: np.ndarray, prefix: Prefix, word_starts: np.ndarray) -> np.ndarray:
-    """Lines of each row with a word, equal to an earlier line of it."""
-    cuts = np.flatnonzero(buf == _NEWLINE)
-    starts = np.concatenate([off[:-1], cuts + 1])
-    ends = np.concatenate([cuts, off[1:]])
-    starts.sort()
-    ends.sort()
-    row = np.searchsorted(off[1:], starts, side="right")
-    # an empty row at the same offset as its neighbour has one empty line, without a word
-    has = np.searchsorted(word_starts, starts) < np.searchsorted(word_starts, ends)
-    starts, ends, row = starts[has], ends[has], row[has]
-    key = mix(prefix.of(starts, ends) + row.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-    order = np.argsort(key, kind="stable")
-    later = order[1:][key[order][1:] == key[order][:-1]]
-    return np.bincount(row[later], minlength=len(off) - 1)
+def _dup_lines(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Lines of each row with a word, equal to an earlier line of it; the lines themselves are compared."""
+    out = np.zeros(len(off) - 1, dtype=np.int64)
+    breaks = _per_row(buf == _NEWLINE, off)
+    raw = buf.tobytes()
+    for r in np.flatnonzero(breaks).tolist():
+        lines = [x for x in raw[off[r] : off[r + 1]].split(b"\n") if x.strip()]
+        out[r] = len(lines) - len(set(lines))
+    return out
 
 
 def base_counts(buf: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """The base columns of each row; word hashes (of ASCII lower case) and first words."""
     starts, ends, first = word_spans(buf, off)
-    prefix = Prefix(buf)
     inside = np.zeros(len(buf) + 1, dtype=np.int64)
     np.cumsum((buf & 0xC0) != 0x80, out=inside[1:])
     chars = np.concatenate([[0], np.cumsum(inside[ends] - inside[starts])])
@@ -143,18 +137,20 @@ def base_counts(buf: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray]
         "n_words": n_words,
         "word_chars": chars[first[1:]] - chars[first[:-1]],
         "n_symbols": _per_row(SYMBOLS[buf], off),
-        "n_dup_lines": _dup_lines(buf, off, prefix, starts),
-        "n_repeat_words": _repeat_words(prefix.of(starts, ends), first),
+        "n_dup_lines": _dup_lines(buf, off),
+        "n_repeat_words": _repeat_words(word_hashes(buf, off), first),
     }
     out["base_failed"] = (n_words < 20) | (100 * out["n_repeat_words"] > 30 * n_words)
-    lower = Prefix(LOWER[buf])
-    return out, lower.of(starts, ends), first
+    return out, word_hashes(LOWER[buf], off), first
 
 
 def references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict:
     """The references of all languages: {language: (classes, word hashes, word shares)}; of all documents, the classes."""
     spark = df.sparkSession
-    blocks = partitions_for(spark, 0)
+    # tasks pass on 16 bytes for each of their distinct words, less than the text itself
+    blocks = partitions_for(spark, df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+
+    none = [0] * N_CLASSES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words.release()
@@ -164,20 +160,21 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict:
         def flush() -> Iterator[pa.RecordBatch]:
             rows = []
             for name, (classes, total, hashes, counts) in held.items():
-                rows.append((name, -1, total, np.asarray(classes, dtype=np.int64).tobytes(), b""))
+                rows.append((name, -1, total, b"", b"", *classes.tolist()))
                 h, n = _added(hashes, counts)
                 block = (h % U64(blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
                 h, n, at = h[order], n[order], np.searchsorted(block[order], np.arange(blocks + 1))
-                rows += [(name, b, 0, h[at[b] : at[b + 1]].tobytes(), n[at[b] : at[b + 1]].tobytes()) for b in range(blocks) if at[b] < at[b + 1]]
+                rows += [(name, b, 0, h[at[b] : at[b + 1]].tobytes(), n[at[b] : at[b + 1]].tobytes(), *none) for b in range(blocks) if at[b] < at[b + 1]]
             held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["lang", "block", "total", "keys", "counts"])
+            types = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * N_CLASSES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["lang", "block", "total", "keys", "counts", *_SUMS])
 
         for batch in batches:
             for part, buf, off in slices(batch):
                 names = ["" if x is None else x for x in part.column(0).to_pylist()]
-                starts, ends, first = word_spans(buf, off)
-                h = Prefix(LOWER[buf]).of(starts, ends)
+                _, _, first = word_spans(buf, off)
+                h = word_hashes(LOWER[buf], off)
                 classes = _class_counts(buf, off)
                 code = {x: k for k, x in enumerate(dict.fromkeys(names))}
                 of = np.array([code[x] for x in names])
@@ -202,20 +199,12 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict:
         if held:
             yield from flush()
 
-    counted = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, block int, total long, keys binary, counts binary")
-    from .common import drop_table, table
-
+    counted = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, block int, total long, keys binary, counts binary, " + ", ".join(f"{c} long" for c in _SUMS))
     packed = table(counted, "word-counts")
-    heads = packed.where("block = -1").groupBy("lang").agg(F.sum("total").alias("total"), F.collect_list("keys").alias("classes"))
-
-    def add_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [np.sum([np.frombuffer(b, dtype=np.int64) for b in x], axis=0).tobytes() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.binary())], names=["lang", "total", "classes"])
-
-    heads = heads.mapInArrow(add_classes, "lang string, total long, classes binary")
-    named = {r["lang"]: (r["total"], np.frombuffer(r["classes"], dtype=np.int64)) for r in heads.where((F.col("total") > 0) & (F.col("lang") != "")).orderBy(F.desc("total"), "lang").limit(LANGUAGES).collect()}
-    all_classes = _sum_classes(heads)
+    sums = [F.sum(c).alias(c) for c in _SUMS]
+    heads = packed.where("block = -1").groupBy("lang").agg(F.sum("total").alias("total"), *sums)
+    named = {r["lang"]: (r["total"], np.array([r[c] for c in _SUMS], dtype=np.int64)) for r in heads.where((F.col("total") > 0) & (F.col("lang") != "")).orderBy(F.desc("total"), "lang").limit(LANGUAGES).collect()}
+    all_classes = np.array([x or 0 for x in heads.agg(*sums).first()], dtype=np.int64)
     totals = {x: n for x, (n, _) in named.items()}
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,21 +237,6 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict:
     return out
 
 
-def _sum_classes(heads: DataFrame) -> np.ndarray:
-    """Histogram of all languages together: one row a partition reaches the driver."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(N_CLASSES, dtype=np.int64)
-        for batch in batches:
-            for b in batch.column(0).to_pylist():
-                total += np.frombuffer(b, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in total], names=[f"c{k}" for k in range(N_CLASSES)])
-
-    got = heads.select("classes").mapInArrow(add, ", ".join(f"c{k} long" for k in range(N_CLASSES)))
-    row = got.agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(N_CLASSES)]).first()
-    return np.array([x or 0 for x in row], dtype=np.int64)
-
-
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k = np.concatenate(keys) if keys else np.empty(0, dtype=U64)
     c = np.concatenate(counts) if counts else np.empty(0, dtype=np.int64)
