@@ -5,6 +5,8 @@ import re
 import numpy as np
 import pytest
 
+from test_rows import morse
+
 from lexispark.llm.components import components
 from lexispark.llm.kernels import word_spans
 from lexispark.llm.ngram_join import _candidates, _product, ngram_join
@@ -76,6 +78,25 @@ def test_overlaps_beyond_two_bytes(spark):
         assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(5, 9), (20, 30)]
 
 
+def test_join_of_regular_texts(spark):
+    """Thue-Morse words and texts, and their complements, which polynomial hashes take for one."""
+    rows = []
+    for k, n in enumerate((8, 10, 11)):
+        a, b = morse(n)
+        rows += [(10 * k, " ".join([a] * 3)), (10 * k + 1, " ".join([b] * 3)), (10 * k + 2, a), (10 * k + 3, b)]
+        rows += [(10 * k + 4, " ".join(a)), (10 * k + 5, " ".join(f"{x}{j % 7}" for j, x in enumerate(a))), (10 * k + 6, " ".join(f"{x}{j % 7}" for j, x in enumerate(b)))]
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == near_copies(rows)
+
+
+def test_join_of_very_long_texts(spark):
+    """Two texts of 900,000 words that differ in one: blocks' cells exceed two bytes."""
+    words = [f"w{k * 7919 % 1_000_003}" for k in range(900_000)]
+    other = list(words)
+    other[450_000] = "changed"
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "a few words")], "doc_id long, text string").repartition(2)
+    assert joined(df) == [(1, 899_996, 1, 1), (2, 899_996, 1, 1), (3, 1, 0, 3)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)] + [(7, 7)]

@@ -36,6 +36,21 @@ def test_quality_base(rows, docs, nothing, keyless):
     assert quality.quality_rules(keyless).count() == 4
 
 
+def morse(n, letters="ab"):
+    """The Thue-Morse string of 2 ** n letters and its complement, which polynomials take for one."""
+    x = [bin(k).count("1") % 2 for k in range(2**n)]
+    return "".join(letters[b] for b in x), "".join(letters[1 - b] for b in x)
+
+
+def test_quality_of_regular_texts(spark):
+    rows = []
+    for k, n in enumerate((8, 10, 11, 12)):
+        a, b = morse(n)
+        rows += [(10 * k, f"{a}\n{b}\n{a}"), (10 * k + 1, f"{a}\n{b}"), (10 * k + 2, " ".join([a, b] * 12)), (10 * k + 3, " ".join(a) + " " + " ".join(b))]
+    got = sorted(tuple(r)[:7] for r in quality.quality_rules(spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")).collect())
+    assert got == sorted((k, *base(t)) for k, t in rows)
+
+
 def test_quality_divergence(spark):
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 7))) for _ in range(60)]
@@ -209,6 +224,17 @@ def test_search_of_huge_numbers_and_nothing(spark):
     q = {k: [math.floor(1024 * x) for x in v] for k, v in rows}
     want = sorted((-(q[0][0] * v[0] + q[0][1] * v[1]), k) for k, v in q.items() if k)[:3]
     assert sorted((r["rank"], r["vec_id"]) for r in got) == [(n + 1, k) for n, (_, k) in enumerate(want)]
+    # whatever is finite takes part, also where 1024-fold components and lengths overflow
+    rng = random.Random(2)
+    big = [5e15, -5e15, 2.0**61, 1e200, -1e200, 1e306, -1.7e308, 3.0, -0.5, 0.0, 7e6]
+    rows = [(k, [rng.choice(big), rng.choice(big)]) for k in range(60)]
+    vectors = vector_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    whole = {k: [int(x) * 1024 if abs(x) > 2**60 else math.floor(1024 * x) for x in v] for k, v in rows}
+    want = []
+    for a in range(0, 60, 7):
+        pinned = sorted((-max(-(2**63) + 1, min(2**63 - 1, sum(x * y for x, y in zip(whole[a], whole[b])))), b) for b in whole if b != a)[:9]
+        want += [(a, n + 1, b, -s) for n, (s, b) in enumerate(pinned)]
+    assert sorted(map(tuple, vector_search.top_k(vectors, vectors.where("vec_id % 7 = 0"), 9).collect())) == sorted(want)
     rows = [(k, [1e15, 1.0]) for k in range(5)]
     vectors = vector_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     pinned = vector_search.top_k(vectors, vectors.where("vec_id = 3"), 2).collect()
@@ -217,6 +243,29 @@ def test_search_of_huge_numbers_and_nothing(spark):
     assert vector_search.top_k(none, none).collect() == []
 
 
+def test_search_prunes(spark):
+    """Unit vectors: lengths bound nothing, coordinates do; long ones: lengths do."""
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(3000, 32))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    stretched = unit * rng.lognormal(0, 2, 3000)[:, None]
+    for v, way in ((unit, "by_coordinates"), (stretched, "skipped")):
+        df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+        vectors = vector_search.quantised(df)
+        asked = vectors.where("vec_id % 100 = 0")
+        report = vector_search.pruning_report(vectors, asked).agg(*[F.sum(c).alias(c) for c in ("cells", "skipped", "by_length", "by_coordinates", "multiplied", "verified")]).first()
+        assert report["cells"] == 3000 * 30 == report["skipped"] + report["by_length"] + report["by_coordinates"]
+        assert report[way] > report["cells"] / 2 and report["multiplied"] + report["verified"] < report["cells"] / 3
+        got = sorted(map(tuple, vector_search.top_k(vectors, asked).collect()))
+        q = np.floor(1024 * v)
+        want = []
+        for k in range(0, 3000, 100):
+            s = q @ q[k]
+            best = sorted((-int(x), i) for i, x in enumerate(s) if i != k)[:10]
+            want += [(k, n + 1, i, -x) for n, (x, i) in enumerate(best)]
+        assert got == sorted(want)
+
+
 def test_escapes():
     rng = random.Random(8)
     for _ in range(3000):
@@ -239,6 +288,21 @@ def test_conversations(spark):
     assert chat.digests(chat.format_turns(df.limit(0))).collect() == []
 
 
+def test_names_of_other_layouts_as_extra_columns(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = [tuple(r) for r in chat.digests(chat.format_turns(df)).collect()]
+    names = {p.split(".")[-1] for m in chat.MAPPINGS for p in m.paths} - {"[]", *df.columns}
+    for c in [*names, "_id", "_x", "seq", "piece"]:
+        assert [tuple(r) for r in chat.digests(chat.format_turns(chat.canonical_rows(df.withColumn(c, F.lit("z"))))).collect()] == want, c
+    for c in names:
+        df = df.withColumn(c, F.lit("z"))
+    assert sorted(map(tuple, chat.canonical_rows(df).collect())) == rows
+    value = {"prompt": "q", "response": "a", "value": 1, "answer": 2, "role": "x", "turn": 3}
+    got = chat.canonical_json(spark.createDataFrame([(1, json.dumps(value))], "id long, body string"), "body", "id").first()
+    assert got["layout"] == "prompt" and [t["text"] for t in got["turns"]] == ["q", "a"]
+
+
 def test_layouts(spark):
     user, bot = {"role": "user", "text": "q"}, {"role": "assistant", "text": "a"}
     values = [
