@@ -47,11 +47,8 @@ from . import words
 from .common import drop_table, shuffle_partitions, small_side, table
 from .components import components
 from .kernels import LOWER, U64, chained, mix, ranges, segments, slices, word_hashes, word_spans
+from .sketches import PARTS, Sketch, added, bits_for, steps
 
-#: A sketch has 2 ** 20 counts up to SKETCH_TEXT bytes of text, twice as many for twice as
-#: much, and 2 ** 24 at most: a byte each where it is sent, four where it is made.
-SKETCH_BITS = (20, 24)
-SKETCH_TEXT = 1 << 30
 #: Bytes of a block's incidences, about.
 BLOCK_BYTES = 32 << 20
 #: Candidate cells of a tile, about.
@@ -96,13 +93,11 @@ def _need(size: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def _sets(df: DataFrame, key: str, text: str, n: int, bits: int) -> DataFrame:
     """A row (key, n_shingles, cls) per document; and the tasks' sketches in parts (block, sketch)."""
-    parts = 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words.release()
-        sketch = np.zeros(1 << bits, dtype=np.uint32)
+        sketch = Sketch(bits)
         seen: set[int] = set()
-        any_row = False
         for batch in batches:
             for part, buf, off in slices(batch):
                 h, at = shingle_rows(buf, off, n)
@@ -116,58 +111,16 @@ def _sets(df: DataFrame, key: str, text: str, n: int, bits: int) -> DataFrame:
                             seen.add(sig)
                         new.append((s, e))
                 if new:
-                    fresh = np.concatenate([h[s:e] for s, e in new])
-                    sketch += np.bincount((fresh >> U64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-                    any_row = True
+                    sketch.add(np.concatenate([h[s:e] for s, e in new]))
                 m = part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(sigs, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["key", "n_shingles", "cls", "block", "sketch"])
-        if any_row:
-            step = len(sketch) // parts
-            blobs = [_small(sketch[k * step : (k + 1) * step]) for k in range(parts)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(parts, key_type), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], names=["key", "n_shingles", "cls", "block", "sketch"])
+        if sketch.used:
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 3, *sketch.parts()], names=["key", "n_shingles", "cls", "block", "sketch"])
 
-    key_type = pa.int64()
     return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, n_shingles long, cls long, block int, sketch binary")
 
 
-def _small(x: np.ndarray) -> bytes:
-    """Counts in the fewest bytes, compressed; the first byte is the width."""
-    import zstandard
-
-    top = int(x.max(initial=0))
-    kind = np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + zstandard.compress(x.astype(kind).tobytes(), 1)
-
-
-def _large(b: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.decompress(b[1:]), dtype={1: np.uint8, 2: np.uint16, 4: np.uint32}[b[0]])
-
-
-def _add_sketches(parts: DataFrame, bits: int) -> np.ndarray:
-    """The sum of all tasks' sketches in steps of an eighth of a doubling, a byte each; the driver
-    gets 2 ** bits of them."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = _large(x).astype(np.uint64)
-                held[b] = held[b] + got if b in held else got
-        if held:
-            steps = [np.minimum(255, 8 * np.log2(v + 1.0)).astype(np.uint8) for v in held.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([_small(v) for v in steps], pa.binary())], names=["block", "sketch"])
-
-    got = parts.repartition(16, "block").mapInArrow(add, "block int, sketch binary").collect()
-    out = np.zeros(1 << bits, dtype=np.uint8)
-    step = len(out) // 16
-    for r in got:
-        out[r["block"] * step : (r["block"] + 1) * step] = _large(bytes(r["sketch"]))
-    return out
-
-
-def _blocks(df: DataFrame, text: str, n: int, sketch, bits: int, num: int, den: int, n_blocks: int) -> DataFrame:
+def _blocks(df: DataFrame, text: str, n: int, sketch, num: int, den: int, n_blocks: int) -> DataFrame:
     """The prefixes' incidences, packed by column block: (block, h, row, cls, size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +152,7 @@ def _blocks(df: DataFrame, text: str, n: int, sketch, bits: int, num: int, den:
         for batch in batches:
             for _, buf, off in slices(batch):
                 h, at = shingle_rows(buf, off, n)
-                seldom = counts[(h >> U64(64 - bits)).astype(np.int64)]
+                seldom = steps(h, counts)
                 a = at.tolist()
                 for s, e in zip(a[:-1], a[1:]):
                     if e == s:
@@ -442,18 +395,16 @@ def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     """(key, n_shingles, n_similar, component_id) of every row, linked at Jaccard num/den."""
     spark = df.sparkSession
     if sketch_bits is None:
-        size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-        low, high = SKETCH_BITS
-        sketch_bits = min(high, low + max(0, math.ceil(math.log2(max(1, size) / SKETCH_TEXT))))
+        sketch_bits = bits_for(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
     first = table(_sets(df, key, text, n, sketch_bits), "sets")
     docs = first.where("block is null").select("key", "n_shingles", "cls")
-    sketch = spark.sparkContext.broadcast(_add_sketches(first.where("block is not null").select("block", "sketch"), sketch_bits))
+    sketch = spark.sparkContext.broadcast(added(first.where("block is not null").select(F.col("block").alias("part"), "sketch"), sketch_bits))
     classes = table(docs.where("cls is not null").groupBy("cls").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")), "classes")
     entries = (classes.agg(F.sum("n").alias("n")).first()["n"] or 0) * (den - num) / den
     # a pair has a cell in nearly every block: few, of bounded size
     n_blocks = max(1, math.ceil(24 * entries / BLOCK_BYTES))
     n_parts = shuffle_partitions(spark)
-    cells = _product(_blocks(df, text, n, sketch, sketch_bits, num, den, n_blocks), num, den, n_blocks, n_parts)
+    cells = _product(_blocks(df, text, n, sketch, num, den, n_blocks), num, den, n_blocks, n_parts)
     pairs = table(_candidates(cells, num, den, n_parts), "pairs")
     links = table(_exact(pairs, classes, df, key, text, n, num, den), "links")
     drop_table(pairs)

@@ -1,8 +1,8 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, vectorised.
 
 Suffixes are classed as smaller or larger than their successor; the leftmost
-smaller ones (LMS) are sorted by their substrings, which are named, and the
-string of names is sorted by the same function.  The order of all suffixes is
+smaller ones (LMS) are sorted by their substrings, several letters at a time,
+which are named, and the string of names is sorted by the same function.  The order of all suffixes is
 induced from theirs in two sweeps over the buckets of first letters, each
 linear in the text, which take large buckets, or batches of small ones, at a
 time with array operations.
@@ -23,7 +23,7 @@ def _classes(t: np.ndarray) -> np.ndarray:
 
 
 #: Suffixes of the buckets that a sweep takes at once, about.
-BATCH = 8192
+BATCH = 2048
 
 
 def _sweep(t: np.ndarray, wanted: np.ndarray, fixed: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -115,23 +115,44 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return sa
 
 
-def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """Names of the LMS substrings, in their order; equal ones share a name."""
-    size = np.empty(len(t), dtype=np.int64)
-    size[lms] = np.diff(np.append(lms, len(t) - 1)) + 1
-    a, b = ordered[:-1], ordered[1:]
-    live = np.flatnonzero(size[a] == size[b])
-    left = size[a[live]]
-    d = 0
-    same = np.zeros(len(a), dtype=bool)
-    while len(live):
-        hit = t[a[live] + d] == t[b[live] + d]
-        live, left = live[hit], left[hit]
-        d += 1
-        done = left == d
-        same[live[done]] = True
-        live, left = live[~done], left[~done]
-    return np.concatenate([[0], np.cumsum(~same)])
+def _substrings(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """LMS substrings in order, and their names; equal ones share a name.
+
+    Letters go with their classes, several in one number; those substrings that
+    the first number leaves equal are sorted on by the next.
+    """
+    n = len(lms)
+    letters = t.astype(np.int64) * 2 + small
+    bits = max(1, int(letters.max()).bit_length())
+    per = 62 // bits
+    size = np.diff(np.append(lms, len(t) - 1)) + 1
+    letters = np.concatenate([letters, np.zeros(per, dtype=np.int64)])
+
+    def key(rows: np.ndarray, done: int) -> np.ndarray:
+        left, at = size[rows] - done, lms[rows] + done
+        out = np.zeros(len(rows), dtype=np.int64)
+        for k in range(per):
+            out <<= bits
+            out |= np.where(k < left, letters[np.minimum(at + k, len(letters) - 1)], 0)
+        return out
+
+    first = key(np.arange(n), 0)
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    new = np.ones(n, dtype=bool)
+    np.not_equal(first[1:], first[:-1], out=new[1:])
+    done = per
+    while True:
+        group = np.cumsum(new) - 1
+        live = np.flatnonzero((np.bincount(group)[group] > 1) & (size[order] > done))
+        if not len(live):
+            return order, group
+        more = key(order[live], done)
+        by = np.lexsort((more, group[live]))
+        order[live] = order[live][by]
+        more, own = more[by], group[live]
+        new[live[1:]] |= (more[1:] != more[:-1]) & (own[1:] == own[:-1])
+        done += per
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -141,24 +162,21 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         return np.arange(n)
     small = _classes(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    is_lms = np.zeros(n, dtype=bool)
-    is_lms[lms] = True
-    sa = _induce(t, small, lms)
-    ordered = sa[is_lms[sa]]
-    names = _names(t, lms, ordered)
+    order, names = _substrings(t, small, lms)
     if names[-1] + 1 < len(lms):
-        of = np.empty(n, dtype=np.int64)
-        of[ordered] = names
-        ordered = lms[suffix_array(of[lms])]
-    return _induce(t, small, ordered)
+        reduced = np.empty(len(lms), dtype=np.int64)
+        reduced[order] = names
+        order = suffix_array(reduced)
+    return _induce(t, small, lms[order])
 
 
-def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def permuted_lcp(t: np.ndarray, sa: np.ndarray, starts: np.ndarray | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """By text position: the suffix before in order (-1: none), and the common prefix with it.
 
     Where the bytes before a suffix and its predecessor are equal, the common
     prefix is one less than that at the position before; only the others are
-    compared, eight bytes at a time.
+    compared, eight bytes at a time.  With ``most``, prefixes are followed for
+    about so many bytes beyond the ``starts`` of regions, where comparing begins anew.
     """
     n = len(t)
     phi = np.empty(n, dtype=np.int64)
@@ -167,6 +185,8 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     before = np.maximum(phi, 1) - 1
     pos = np.arange(n)
     compared = (pos == 0) | (phi <= 0) | (t[np.maximum(pos, 1) - 1] != t[before])
+    if starts is not None:
+        compared[starts] = True
     at = np.flatnonzero(compared)
     padded = np.concatenate([t, np.zeros(8, dtype=np.uint8)])
     eight = np.ndarray(shape=(n + 1,), dtype="<u8", buffer=padded.tobytes(), strides=(1,))
@@ -179,5 +199,7 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         step = np.where(x == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
         lcp[live] += step
         live = live[step == 8]
-    out = np.repeat(lcp, np.diff(np.append(at, n))) - ranges(np.diff(np.append(at, n)))
-    return phi, out
+        if most is not None:
+            live = live[lcp[live] < most]
+    size = np.diff(np.append(at, n))
+    return phi, np.repeat(lcp, size) - ranges(size)

@@ -1,33 +1,37 @@
-"""Exact removal of repeated byte strings, with suffix arrays over shards.
+"""Removal of repeated byte strings, with suffix arrays over shards.
 
 A byte goes if some string of ``length`` bytes that covers it also starts
 anywhere else in the corpus.  Suffix arrays decide that, over shards that
-hold every pair of places that could match:
+bring together the places that could match:
 
 1.  Places.  The least hash among the ``K``-byte strings of each window of
     ``length`` bytes marks a place; equal windows mark equal places, about
-    two in ``length - K`` bytes.  Exact copies of a text mark theirs once a
-    task.  A place carries hashes of the bytes of all windows that mark it
-    together, and of four cores, of which every window holds one.
-2.  Blocks, which are hash ranges of places, find the places that occur
-    twice.  Where all windows around are equal as well, they are repeated.
-    A place with a core that another place shares goes on to a shard; any
-    other has no repeated window.
-3.  Shards get the bytes around those places, ordered by place.  Their suffix
-    array is induced, and windows that begin one run of common prefixes of at
-    least ``length`` bytes at different places are repeated.  A place with
-    more than ``HOT`` different surroundings isn't brought together: its
-    windows are compared one by one through their hashes, spread by hash.
-4.  Repeated windows come back to their texts, where they are merged.
-
-A text that occurs twice as a whole and is as long as a window goes entirely;
-it isn't compared again, but its windows count for all others.
+    two in ``length - K`` bytes.  A place carries hashes of four cores, of
+    which every window that marks it holds one.
+2.  Blocks, which are hash ranges of places, find the places that share a core
+    with another one; any other has no repeated window.  A count sketch tells
+    which places occur more than ``PLACE_LIMIT`` times; they are salted by
+    their cores before they meet.
+3.  Shards get the bytes around those places, ordered by place, ``HOT`` of a
+    place at most.  Their suffix array is induced, and windows that begin one
+    run of common prefixes of at least ``length`` bytes at different places are
+    repeated.
+4.  Where the surroundings of one place are in several shards, the windows
+    left over in each, and one of each run, are matched over all shards by
+    their hashes (XXH3).
+5.  Repeated windows come back to their texts, where they are merged.
+
+Texts that are equal as a whole (63-bit hash) are one class; if one is as long
+as a window, all its rows go entirely.  It isn't compared again with itself,
+but its windows count for all others.
 
 Texts are shuffled only where they hold something to compare or to remove,
-which a bit table of fixed size tells (its false hits cost a transfer only).
+which a bit table of bounded size tells (its false hits cost a transfer only).
 
 Nulls are empty texts; texts below ``length`` bytes lose nothing; repeated
-rows count as copies of each other; an empty table gives an empty result.
+rows count as copies of each other; very long texts are read whole.  Only the
+key and the text are read (``remove_repeats`` passes other columns on), whatever
+the others' names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,17 +49,20 @@ from pyspark.sql import types as T
 from . import words
 from .common import drop_table, partitions_for, shuffle_partitions, table
 from .kernels import Prefix, U64, mix, ranges, segments, slices
+from .sketches import PARTS, Sketch, added, bits_for, count_of, steps
 from .suffix_array import permuted_lcp, suffix_array
 
 #: Bytes of the strings whose hashes mark places.
 K = 32
 CORES = 4
-#: Different surroundings of a place up to which a shard compares them.
+#: Surroundings of one place that a shard gets at most.
 HOT = 4096
+#: Occurrences of a place that meet in one task, about; more are salted.
+PLACE_LIMIT = 1_000_000
 #: Bytes of a shard's text, about; one place's surroundings stay together.
 SHARD_BYTES = 1 << 20
-#: 2 ** BLOOM_BITS bits tell which texts are wanted.
-BLOOM_BITS = 24
+#: 2 ** bits bits tell which texts are wanted: from 20 to 27, about 8 a text.
+BLOOM_BITS = (20, 27)
 
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -77,7 +84,7 @@ def _slide(a: np.ndarray, w: int, op, neutral: int) -> np.ndarray:
 
 
 def places(buf: np.ndarray, off: np.ndarray, length: int) -> dict[str, np.ndarray] | None:
-    """The marked places of all rows: their row, position, hash, surroundings and cores."""
+    """The marked places of all rows: their row, position, hash, windows and cores."""
     n, w = len(buf), length - K + 1
     sizes = np.diff(off)
     long = np.flatnonzero(sizes >= length)
@@ -107,7 +114,6 @@ def places(buf: np.ndarray, off: np.ndarray, length: int) -> dict[str, np.ndarra
     low = np.minimum(w - 1, at - run[mine])  # they begin from -low ...
     high = np.maximum(0, at - run[mine + 1] + 1)  # ... to -high
     out = {"row": row, "pos": pos, "h": h[at], "low": low, "high": high}
-    out["whole"] = mix(prefix.of(at - low, at - high + length) + (low * 1024 + high).astype(U64))
     edges = np.linspace(0, w, CORES + 1).astype(np.int64)
     for k in range(CORES):
         a, b = edges[k], edges[k + 1] - 1  # windows of this core begin from -b to -a
@@ -118,11 +124,12 @@ def places(buf: np.ndarray, off: np.ndarray, length: int) -> dict[str, np.ndarra
     return out
 
 
-_PLACE = [("h", np.uint64), ("row", np.uint16), ("pos", np.uint32), ("low", np.uint8), ("high", np.uint8), ("whole", np.uint64), *[(f"core{k}", np.uint32) for k in range(CORES)]]
+_PLACE = [("h", np.uint64), ("row", np.uint16), ("pos", np.uint32), ("low", np.uint8), ("high", np.uint8), *[(f"core{k}", np.uint32) for k in range(CORES)]]
 
 
-def _marked(df: DataFrame, text: str, length: int, n_blocks: int) -> DataFrame:
-    """Places packed by block: (block, data, cls); ``data`` is the columns of _PLACE."""
+def _marked(df: DataFrame, text: str, length: int, n_blocks: int, bits: int) -> DataFrame:
+    """Places packed by block: (block, data, cls), ``data`` being the columns of _PLACE; and
+    the tasks' sketches in parts (part, sketch)."""
     # "low" and "high" need a byte each: length - K < 256
     if length - K > 255:
         raise ValueError("length is at most K + 255")
@@ -130,6 +137,7 @@ def _marked(df: DataFrame, text: str, length: int, n_blocks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words.release()
         seen: set[int] = set()
+        sketch = Sketch(bits)
         for batch in batches:
             for _, buf, off in slices(batch):
                 raw, o = buf.tobytes(), off.tolist()
@@ -144,6 +152,7 @@ def _marked(df: DataFrame, text: str, length: int, n_blocks: int) -> DataFrame:
                     got = places(mine, np.concatenate([[0], np.cumsum(size)]), length)
                     if got is None:
                         continue
+                    sketch.add(got["h"])
                     block = (got["h"] % U64(n_blocks)).astype(np.int64)
                     order = np.argsort(block.astype(np.uint16) if n_blocks < 65536 else block, kind="stable")
                     cut = np.searchsorted(block[order], np.arange(n_blocks + 1)).tolist()
@@ -153,12 +162,19 @@ def _marked(df: DataFrame, text: str, length: int, n_blocks: int) -> DataFrame:
                     for b in range(n_blocks):
                         x, y = cut[b], cut[b + 1]
                         if x < y:
-                            used, local = np.unique(cols["row"][x:y], return_inverse=True)
-                            parts = [local.astype(np.uint16) if c == "row" else cols[c][x:y].astype(t) for c, t in _PLACE]
-                            out.append((b, b"".join(p.tobytes() for p in parts), own[used].tobytes()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], names=["block", "data", "cls"])
+                            out.append((b, *_packed({c: v[x:y] for c, v in cols.items()}, own)))
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())], names=names)
+        if sketch.used:
+            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int32()), pa.nulls(PARTS, pa.binary()), pa.nulls(PARTS, pa.binary()), *sketch.parts()], names=names)
 
-    return df.select(F.col(text).alias("text")).mapInArrow(run, "block int, data binary, cls binary")
+    names = ["block", "data", "cls", "part", "sketch"]
+    return df.select(F.col(text).alias("text")).mapInArrow(run, "block int, data binary, cls binary, part int, sketch binary")
+
+
+def _packed(cols: dict[str, np.ndarray], own: np.ndarray) -> tuple[bytes, bytes]:
+    """Places and the classes of their texts, ``own`` by row."""
+    used, local = np.unique(cols["row"], return_inverse=True)
+    return b"".join((local if c == "row" else cols[c]).astype(t).tobytes() for c, t in _PLACE), own[used].tobytes()
 
 
 def _unpack(data: bytes, cls: bytes) -> dict[str, np.ndarray]:
@@ -172,13 +188,41 @@ def _unpack(data: bytes, cls: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-#: What is known of a stretch of a text: it is repeated; or its windows are to
-#: be compared, in a shard or (for hot places) one by one.
-_COVER, _COMPARE, _SPREAD = 0, 1, 2
+def _salted(marked: DataFrame, sketch, n_blocks: int) -> DataFrame:
+    """Packed places again, those that the sketch finds too frequent spread over blocks by their cores."""
+    limit = PLACE_LIMIT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, cls in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = _unpack(data, cls)
+                block = _salts(x, sketch.value, limit) % n_blocks
+                own, x["row"] = np.unique(x.pop("cls"), return_inverse=True)
+                order = np.argsort(block, kind="stable")
+                cut = segments(block[order]).tolist()
+                out = [(int(block[order[a]]), *_packed({c: v[order[a:b]] for c, v in x.items()}, own)) for a, b in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], names=["block", "data", "cls"])
+
+    return marked.select("data", "cls").mapInArrow(run, "block int, data binary, cls binary")
+
+
+def _salts(x: dict[str, np.ndarray], sketch: np.ndarray | None, limit: int) -> np.ndarray:
+    """What places must have in common to meet: their hash, or if it is too frequent also a salt of their cores."""
+    out = (x["h"] >> U64(1)).astype(np.int64)
+    if sketch is not None:
+        n_salts = np.ceil(count_of(steps(x["h"], sketch)) / limit).astype(np.int64)
+        hot = np.flatnonzero(n_salts > 1)
+        if len(hot):
+            core = sum(x[f"core{k}"][hot].astype(U64) << U64(8 * k) for k in range(CORES))
+            salt = (mix(core.copy()) % n_salts[hot].astype(U64)).astype(U64)
+            out[hot] = (mix(x["h"][hot] + salt * U64(0x9E3779B97F4A7C15)) >> U64(1)).astype(np.int64)
+    return out
 
 
-def _found(marked: DataFrame, length: int, n_blocks: int) -> DataFrame:
-    """(cls, kind, start, end, h) of the places that occur twice."""
+def _found(marked: DataFrame, length: int, n_blocks: int, sketch=None) -> DataFrame:
+    """(cls, open, start, end, h) of the stretches to compare; ``open`` where a place's stretches
+    are in several groups, which ``h`` numbers."""
+    limit = PLACE_LIMIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [_unpack(d, c) for batch in batches for d, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
@@ -186,68 +230,64 @@ def _found(marked: DataFrame, length: int, n_blocks: int) -> DataFrame:
             return
         x = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
         del parts
-        order = np.argsort(x["h"], kind="stable")
-        at = segments(x["h"][order])
-        order = order[np.repeat(np.diff(at) > 1, np.diff(at))]
-        x = {c: v[order] for c, v in x.items()}
-        order = np.lexsort((x["pos"], x["cls"], x["h"]))
+        counts = None if sketch is None else sketch.value
+        x["meet"] = _salts(x, counts, limit)
+        salted = np.zeros(len(x["h"]), dtype=bool) if counts is None else x["meet"] != (x["h"] >> U64(1)).astype(np.int64)
+        # places alone are out, but salted ones may have others elsewhere
+        order = np.argsort(x["meet"], kind="stable")
+        at = segments(x["meet"][order])
+        order = order[np.repeat(np.diff(at) > 1, np.diff(at)) | salted[order]]
         x = {c: v[order] for c, v in x.items()}
         if not len(x["h"]):
             return
+        order = np.lexsort((x["pos"], x["cls"], x["h"], x["meet"]))
+        x = {c: v[order] for c, v in x.items()}
         new = np.ones(len(x["h"]), dtype=bool)
-        new[1:] = (x["h"][1:] != x["h"][:-1]) | (x["cls"][1:] != x["cls"][:-1]) | (x["pos"][1:] != x["pos"][:-1])
+        new[1:] = (x["meet"][1:] != x["meet"][:-1]) | (x["h"][1:] != x["h"][:-1]) | (x["cls"][1:] != x["cls"][:-1]) | (x["pos"][1:] != x["pos"][:-1])
         x = {c: v[new] for c, v in x.items()}
-        group = np.repeat(np.arange(len(segments(x["h"])) - 1), np.diff(segments(x["h"])))
-        # equal surroundings
-        order = np.lexsort((x["whole"], group))
-        edge = np.ones(len(order), dtype=bool)
-        edge[1:] = (x["whole"][order][1:] != x["whole"][order][:-1]) | (group[order][1:] != group[order][:-1])
-        at = np.append(np.flatnonzero(edge), len(order))
-        copies = np.empty(len(order), dtype=np.int64)
-        copies[order] = np.repeat(np.diff(at), np.diff(at))
-        pos = x["pos"].astype(np.int64)
-        low, high = x["low"].astype(np.int64), x["high"].astype(np.int64)
-        out = []
-
-        def add(rows: np.ndarray, kind: np.ndarray | int, start: np.ndarray, end: np.ndarray) -> None:
-            out.append((x["cls"][rows], np.broadcast_to(kind, len(rows)).astype(np.int8), start, end, x["h"][rows].view(np.int64)))
-
-        rows = np.flatnonzero(copies > 1)
-        add(rows, _COVER, pos[rows] - low[rows], pos[rows] - high[rows] + length)
-        # one of each surroundings; those with a core that a single one shares
-        reps = order[edge]
-        single = copies[reps] == 1
+        salted = np.zeros(len(x["h"]), dtype=bool) if counts is None else x["meet"] != (x["h"] >> U64(1)).astype(np.int64)
+        edge = np.ones(len(x["h"]), dtype=bool)
+        edge[1:] = (x["meet"][1:] != x["meet"][:-1]) | (x["h"][1:] != x["h"][:-1])
+        group = np.cumsum(edge) - 1
+        pos, low, high = (x[c].astype(np.int64) for c in ("pos", "low", "high"))
+        # the windows of cores that another place of the group shares; of salted places, all
         edges = np.linspace(0, length - K + 1, CORES + 1).astype(np.int64)
-        far = np.full(len(reps), -1, dtype=np.int64)
-        near = np.full(len(reps), 1 << 20, dtype=np.int64)
+        far = np.where(salted, low, -1)
+        near = np.where(salted, high, 1 << 20)
         for k in range(CORES):
-            core = x[f"core{k}"][reps]
+            core = x[f"core{k}"]
             has = np.flatnonzero(core > 0)
-            by = has[np.lexsort((core[has], group[reps][has]))]
-            if not len(by):
+            if not len(has):
                 continue
-            edge_k = np.ones(len(by), dtype=bool)
-            edge_k[1:] = (core[by][1:] != core[by][:-1]) | (group[reps][by][1:] != group[reps][by][:-1])
-            at = np.append(np.flatnonzero(edge_k), len(by))
-            size = np.diff(at)
-            open_ = np.add.reduceat(single[by].astype(np.int64), at[:-1]) > 0
-            hit = by[np.repeat((size > 1) & open_, size)]
-            far[hit] = np.maximum(far[hit], np.minimum(edges[k + 1] - 1, low[reps][hit]))
-            near[hit] = np.minimum(near[hit], np.maximum(edges[k], high[reps][hit]))
+            by = has[np.lexsort((core[has], group[has]))]
+            edge = np.ones(len(by), dtype=bool)
+            edge[1:] = (core[by][1:] != core[by][:-1]) | (group[by][1:] != group[by][:-1])
+            size = np.diff(np.append(np.flatnonzero(edge), len(by)))
+            hit = by[np.repeat(size > 1, size)]
+            far[hit] = np.maximum(far[hit], np.minimum(edges[k + 1] - 1, low[hit]))
+            near[hit] = np.minimum(near[hit], np.maximum(edges[k], high[hit]))
         go = np.flatnonzero(far >= 0)
-        if len(go):
-            n_of = np.bincount(group[reps][go])
-            kind = np.where(n_of[group[reps][go]] > HOT, _SPREAD, _COMPARE)
-            rows = reps[go]
-            add(rows, kind, pos[rows] - far[go], pos[rows] - near[go] + length)
-        for cls, kind, start, end, h in out:
-            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(kind), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(h)], names=["cls", "kind", "start", "end", "h"])
+        if not len(go):
+            return
+        # a place's stretches in parts of HOT, those with equal cores together
+        go = go[np.lexsort((*[x[f"core{k}"][go] for k in range(CORES)], group[go]))]
+        at = segments(group[go])
+        size = np.diff(at)
+        part = ranges(size) // HOT
+        apart = salted[go] | np.repeat(size > HOT, size)
+        h = np.where(apart, (mix(x["meet"][go].view(U64) + part.astype(U64) * U64(0xD6E8FEB86659FD93)) >> U64(1)).view(np.int64), x["meet"][go])
+        yield pa.RecordBatch.from_arrays([pa.array(x["cls"][go]), pa.array(apart), pa.array((pos[go] - far[go]).astype(np.int32)), pa.array((pos[go] - near[go] + length).astype(np.int32)), pa.array(h)], names=["cls", "open", "start", "end", "h"])
+
+    return marked.select("block", "data", "cls").repartitionById(n_blocks, F.col("block")).mapInArrow(run, "cls long, open boolean, start int, end int, h long")
+
 
-    return marked.repartitionById(n_blocks, F.col("block")).mapInArrow(run, "cls long, kind byte, start int, end int, h long")
+def _bloom_bits(n: int) -> int:
+    low, high = BLOOM_BITS
+    return min(high, max(low, (8 * n).bit_length()))
 
 
 def _bits(df: DataFrame, column: str, bits: int):
-    """A broadcast bit table of a long column's values; its size is fixed."""
+    """A broadcast bit table of a long column's values, of 2 ** bits bits."""
     import zstandard
 
     spark = df.sparkSession
@@ -311,63 +351,50 @@ def _with_texts(rows: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return a.unionByName(b).repartition(n, "cls").sortWithinPartitions("cls", "late")
 
 
-def _bytes_around(stretches: DataFrame, length: int, n_shards: int) -> DataFrame:
-    """The bytes of stretches to compare: (shard, h, cls, start, data).  The
-    windows of hot places go as packed (hash, class, begin), a row a shard."""
+def _bytes_around(stretches: DataFrame, n_shards: int) -> DataFrame:
+    """The bytes of stretches to compare: (shard, h, cls, start, open, data)."""
     import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, raw, prefix = None, b"", None
+        now, raw = None, b""
         press = zstandard.ZstdDecompressor()
         for batch in batches:
-            cls, late, blob, kind, start, end, h = (batch.column(k) for k in range(7))
-            cls, late, kind, start, end, h = (c.to_pylist() for c in (cls, late, kind, start, end, h))
-            out, spread = [], []
+            cls, late, blob, apart, start, end, h = (batch.column(k) for k in range(7))
+            cls, late, apart, start, end, h = (c.to_pylist() for c in (cls, late, apart, start, end, h))
+            out = []
             for k in range(batch.num_rows):
                 if not late[k]:
                     if cls[k] != now:
-                        now, raw, prefix = cls[k], press.decompress(blob[k].as_py()), None
+                        now, raw = cls[k], press.decompress(blob[k].as_py())
                 elif cls[k] == now:
-                    if kind[k] == _COMPARE:
-                        out.append((h[k] % n_shards, h[k], now, start[k], raw[start[k] : end[k]]))
-                    else:
-                        prefix = prefix or Prefix(np.frombuffer(raw, dtype=np.uint8))
-                        at = np.arange(start[k], end[k] - length + 1)
-                        got = prefix.of(at, at + length)
-                        spread.append((got, np.full(len(at), now), at))
-            if spread:
-                g, c, p = (np.concatenate([x[j] for x in spread]) for j in range(3))
-                shard = (g % U64(n_shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                g, c, p, shard = g[order], c[order], p[order].astype(np.int32), shard[order]
-                cut = segments(shard).tolist()
-                out += [(int(shard[x]), None, None, None, g[x:y].tobytes() + c[x:y].tobytes() + p[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=["shard", "h", "cls", "start", "data"])
-
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return stretches.mapInArrow(run, "shard int, h long, cls long, start int, data binary")
-
-
-def repeated_in_shard(regions: list[bytes], cls: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Region and window begin (within it) of the windows that also begin elsewhere in the shard."""
+                    out.append((h[k] % n_shards, h[k], now, start[k], apart[k], raw[start[k] : end[k]]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=["shard", "h", "cls", "start", "open", "data"])
+
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+    return stretches.mapInArrow(run, "shard int, h long, cls long, start int, open boolean, data binary")
+
+
+#: Letters of bytes: UTF-8 has 243 of them; 1 to SEPARATORS end regions in turn, 0 the text.
+SEPARATORS = 12
+_LETTER = np.zeros(256, dtype=np.uint8)
+_LETTER[[b for b in range(256) if b not in (0xC0, 0xC1) and b < 0xF5]] = np.arange(1 + SEPARATORS, 256)
+
+
+def repeated_in_shard(regions: list[bytes], cls: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Region and begin (within it) of the windows that also begin elsewhere in the shard, and the run they are in."""
     sizes = np.array([len(r) for r in regions], dtype=np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])
-    t = np.frombuffer(b"\xff".join(regions) + b"\xff\xff", dtype=np.uint8)[: begins[-1] + 1].copy()
-    # 0xFE and 0xFF aren't in UTF-8; regions end with the lowest letter, the text with 0
-    t[t < 0xFF] += 2
-    t[begins[1:] - 1] = 1
-    t[-1] = 0
+    t = np.append(_LETTER[np.frombuffer(b"\xff".join(regions) + b"\xff", dtype=np.uint8)], np.uint8(0))
+    t[begins[1:] - 1] = 1 + np.arange(len(regions)) % SEPARATORS
     sa = suffix_array(t)
-    phi, lcp = permuted_lcp(t, sa)
-    joined = lcp[sa] >= length
-    run = np.cumsum(~joined)
-    region = np.searchsorted(begins, sa, side="right") - 1
-    region = np.minimum(region, len(regions) - 1)
+    _, lcp = permuted_lcp(t, sa, begins[:-1], int(sizes.max()) + length)
+    run = np.cumsum(lcp[sa] < length)
+    region = np.minimum(np.searchsorted(begins, sa, side="right") - 1, len(regions) - 1)
     inside = sa - begins[region]
     ok = inside + length <= sizes[region]
     run, region, inside = run[ok], region[ok], inside[ok]
     if not len(run):
-        return region, inside
+        return region, inside, run
     # a run is a repeat if its windows begin at two places of the corpus at least
     place = start[region] + inside
     order = np.lexsort((place, cls[region], run))
@@ -376,7 +403,7 @@ def repeated_in_shard(regions: list[bytes], cls: np.ndarray, start: np.ndarray,
     new[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1]) | (p[1:] != p[:-1])
     at = segments(r)
     many = np.repeat(np.add.reduceat(new.astype(np.int64), at[:-1]) > 1, np.diff(at))
-    return region[order][many], inside[order][many]
+    return region[order][many], inside[order][many], r[many]
 
 
 def _stretches(cls: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -392,53 +419,92 @@ def _stretches(cls: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndar
     return cls[first], begin[first], begin[last] + length
 
 
+def _left_over(regions: list[bytes], apart: np.ndarray, length: int, region: np.ndarray, inside: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, region and begin of the windows of open regions that aren't repeated in the shard, and of one of each run."""
+    sizes = np.where(apart, np.array([len(r) for r in regions], dtype=np.int64) - length + 1, 0)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    todo = np.ones(at[-1], dtype=bool)
+    mine = apart[region]
+    region, inside, run = region[mine], inside[mine], run[mine]
+    todo[at[region] + inside] = False
+    if len(run):
+        first = segments(run)[:-1]
+        todo[at[region[first]] + inside[first]] = True
+    window = np.flatnonzero(todo)
+    of = np.searchsorted(at, window, side="right") - 1
+    begin = window - at[of]
+    h = np.fromiter((xxhash.xxh3_64_intdigest(regions[r][b : b + length]) for r, b in zip(of.tolist(), begin.tolist())), dtype=U64, count=len(of))
+    return h, of, begin
+
+
 def _compared(around: DataFrame, length: int, n_shards: int) -> DataFrame:
-    """(cls, start, end) that the shards' suffix arrays, and hot places' hashes, find repeated."""
+    """(cls, start, end) that the shards' suffix arrays find repeated; and the windows of open
+    stretches that they leave over, packed (part, data)."""
+    names = ["cls", "start", "end", "part", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words.release()
         held, size, last = [], 0, None
-        hot: list[tuple] = []
-
-        def give(cls: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
-            c, s, e = _stretches(cls, begin, length)
-            return pa.RecordBatch.from_arrays([pa.array(c), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["cls", "start", "end"])
 
-        def flush() -> pa.RecordBatch:
-            cls = np.array([c for c, _, _ in held], dtype=np.int64)
-            start = np.array([s for _, s, _ in held], dtype=np.int64)
-            region, inside = repeated_in_shard([d for _, _, d in held], cls, start, length)
+        def flush() -> Iterator[pa.RecordBatch]:
+            cls = np.array([x[0] for x in held], dtype=np.int64)
+            start = np.array([x[1] for x in held], dtype=np.int64)
+            apart = np.array([x[2] for x in held], dtype=bool)
+            regions = [x[3] for x in held]
             held.clear()
-            return give(cls[region], start[region] + inside)
+            region, inside, runs = repeated_in_shard(regions, cls, start, length)
+            c, s, e = _stretches(cls[region], start[region] + inside, length)
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.nulls(len(c), pa.int32()), pa.nulls(len(c), pa.binary())], names=names)
+            if not apart.any():
+                return
+            h, of, begin = _left_over(regions, apart, length, region, inside, runs)
+            part = (h % U64(n_shards)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            h, c, p, part = h[order], cls[of][order], (start[of] + begin)[order].astype(np.int32), part[order]
+            cut = segments(part).tolist()
+            out = [(int(part[a]), h[a:b].tobytes() + c[a:b].tobytes() + p[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+            m = len(out)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array([a for a, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=names)
 
         for batch in batches:
-            h, cls, start, data = (batch.column(k).to_pylist() for k in range(1, 5))
+            h, cls, start, apart, data = (batch.column(k).to_pylist() for k in range(1, 6))
             for k in range(batch.num_rows):
-                if h[k] is None:
-                    n = len(data[k]) // 20
-                    hot.append((np.frombuffer(data[k], dtype=U64, count=n), np.frombuffer(data[k], dtype=np.int64, count=n, offset=8 * n), np.frombuffer(data[k], dtype=np.int32, offset=16 * n)))
-                    continue
                 if size > SHARD_BYTES and h[k] != last:
-                    yield flush()
+                    yield from flush()
                     size = 0
-                held.append((cls[k], start[k], data[k]))
+                held.append((cls[k], start[k], apart[k], data[k]))
                 size += len(data[k])
                 last = h[k]
         if held:
-            yield flush()
-        if hot:
-            g, c, p = (np.concatenate([x[k] for x in hot]) for k in range(3))
-            order = np.lexsort((p, c, g))
-            g, c, p = g[order], c[order], p[order].astype(np.int64)
-            new = np.ones(len(g), dtype=bool)
-            new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (p[1:] != p[:-1])
-            at = segments(g)
-            many = np.repeat(np.add.reduceat(new.astype(np.int64), at[:-1]) > 1, np.diff(at))
-            if many.any():
-                yield give(c[many], p[many])
+            yield from flush()
 
     shards = around.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("h")
-    return shards.mapInArrow(run, "cls long, start int, end int")
+    return shards.mapInArrow(run, "cls long, start int, end int, part int, data binary")
+
+
+def _matched(left: DataFrame, length: int, n_parts: int) -> DataFrame:
+    """(cls, start, end) of the windows left over in one shard that another shard has as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: list[tuple] = []
+        for batch in batches:
+            for data in batch.column(1).to_pylist():
+                n = len(data) // 20
+                hot.append((np.frombuffer(data, dtype=U64, count=n), np.frombuffer(data, dtype=np.int64, count=n, offset=8 * n), np.frombuffer(data, dtype=np.int32, offset=16 * n)))
+        if not hot:
+            return
+        g, c, p = (np.concatenate([x[k] for x in hot]) for k in range(3))
+        order = np.lexsort((p, c, g))
+        g, c, p = g[order], c[order], p[order].astype(np.int64)
+        new = np.ones(len(g), dtype=bool)
+        new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (p[1:] != p[:-1])
+        at = segments(g)
+        many = np.repeat(np.add.reduceat(new.astype(np.int64), at[:-1]) > 1, np.diff(at))
+        if many.any():
+            c, s, e = _stretches(c[many], p[many], length)
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["cls", "start", "end"])
+
+    return left.select("part", "data").repartitionById(n_parts, F.col("part")).mapInArrow(run, "cls long, start int, end int")
 
 
 def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -513,20 +579,30 @@ def _docs(df: DataFrame, key: str, text: str) -> DataFrame:
 def _repeats(df: DataFrame, text: str, length: int, total: int, with_text: bool) -> DataFrame:
     """(cls, n_removed, n_spans, kept_sha256[, kept]) of texts with repeated bytes, a table."""
     spark = df.sparkSession
-    n_blocks = partitions_for(spark, total * 2 / (length - K) * 48)
-    found = table(_found(_marked(df, text, length, n_blocks), length, n_blocks), "places")
-    todo = found.where(F.col("kind") != _COVER)
-    load = todo.agg(F.sum(F.when(F.col("kind") == _COMPARE, F.col("end") - F.col("start")).otherwise(20 * (F.col("end") - F.col("start") - length + 1)).cast("long")).alias("b")).first()["b"] or 0
-    n_shards = partitions_for(spark, load, 16 << 20)
+    n_blocks = partitions_for(spark, total * 2 / (length - K) * 40)
+    bits = bits_for(total)
+    packed = table(_marked(df, text, length, n_blocks, bits), "marked")
+    sketch = added(packed.where("part is not null").select("part", "sketch"), bits)
+    marked, shared = packed.where("part is null"), None
+    if count_of(sketch.max()) > PLACE_LIMIT:
+        shared = spark.sparkContext.broadcast(sketch)
+        marked = _salted(marked, shared, n_blocks)
+    todo = table(_found(marked, length, n_blocks, shared), "places")
+    drop_table(packed)
+    n, load = todo.agg(F.count("*"), F.sum((F.col("end") - F.col("start")).cast("long"))).first()
+    n_shards = partitions_for(spark, load or 0, 16 << 20)
     n_texts = partitions_for(spark, total / 2)
-    wanted = _bits(todo, "cls", BLOOM_BITS)
-    around = _bytes_around(_with_texts(todo, _texts(df, text, wanted, BLOOM_BITS), n_texts), length, n_shards)
+    bloom = _bloom_bits(n)
+    wanted = _bits(todo, "cls", bloom)
+    around = _bytes_around(_with_texts(todo, _texts(df, text, wanted, bloom), n_texts), n_shards)
     compared = table(_compared(around, length, n_shards), "compared")
-    spans = found.where(F.col("kind") == _COVER).select("cls", "start", "end").unionByName(compared)
-    touched = _bits(spans, "cls", BLOOM_BITS)
-    out = table(_verdicts(spans, _texts(df, text, touched, BLOOM_BITS), n_texts, with_text), "verdicts")
-    drop_table(found)
-    drop_table(compared)
+    matched = _matched(compared.where("part is not null"), length, n_shards)
+    spans = table(compared.where("part is null").select("cls", "start", "end").unionByName(matched), "spans")
+    bloom = _bloom_bits(spans.count())
+    touched = _bits(spans, "cls", bloom)
+    out = table(_verdicts(spans, _texts(df, text, touched, bloom), n_texts, with_text), "verdicts")
+    for t in (todo, compared, spans):
+        drop_table(t)
     return out
 
 
@@ -563,13 +639,14 @@ def remove_repeats(df: DataFrame, text: str = "text", length: int = 200, chars:
     verdicts = _repeats(df, text, length, total, True).select(F.col("cls").alias("__lx_cls"), "kept")
     copied = sized.where(F.col("n") >= length).groupBy("__lx_cls").agg(F.count("*").alias("c")).where("c > 1").select("__lx_cls", F.lit(b"").alias("kept"))
     known = table(verdicts.join(copied.select("__lx_cls"), "__lx_cls", "left_anti").unionByName(copied), "known")
-    bits = _bits(known, "__lx_cls", BLOOM_BITS)
+    bloom = _bloom_bits(known.count())
+    bits = _bits(known, "__lx_cls", bloom)
 
     @F.pandas_udf("boolean")
     def touched(cls):
         import pandas as pd
 
-        return pd.Series(_wanted(bits.value, BLOOM_BITS, cls.to_numpy()))
+        return pd.Series(_wanted(bits.value, bloom, cls.to_numpy()))
 
     @F.pandas_udf("string")
     def readable(kept):

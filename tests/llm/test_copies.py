@@ -183,8 +183,20 @@ def test_repeats(spark, passages):
 
 
 def test_repeats_of_hot_places(spark, passages, monkeypatch):
+    """A place's stretches in several shards; and its occurrences in several blocks."""
     monkeypatch.setattr(sd, "HOT", 2)
-    held_against_cut(spark.createDataFrame(passages, "doc_id long, text string").repartition(2), passages)
+    df = spark.createDataFrame(passages, "doc_id long, text string").repartition(2)
+    held_against_cut(df, passages)
+    monkeypatch.setattr(sd, "PLACE_LIMIT", 3)
+    held_against_cut(df, passages)
+
+
+def test_repeats_of_regular_texts(spark):
+    """Thue-Morse strings and their complements, which polynomial hashes take for one."""
+    rows = []
+    for k, n in enumerate((9, 10, 11)):
+        rows += [(10 * k + j, x[:m]) for j, (x, m) in enumerate([(morse(n)[0], 2**n), (morse(n)[1], 2**n - 3), (morse(n, "cd")[0], 300), (morse(n, "ef")[1], 255)])]
+    held_against_cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
 
 
 def test_repeats_of_odd_rows(rows, docs, nothing, keyless):
