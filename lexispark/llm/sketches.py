@@ -36,7 +36,7 @@ class Sketch:
         self.bits, self.counts, self.used = bits, np.zeros(1 << bits, dtype=np.uint32), False
 
     def add(self, h: np.ndarray) -> None:
-        self.counts += np.bincount((h >> U64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits).astype(np.uint32)
+        np.add.at(self.counts, (h >> U64(64 - self.bits)).astype(np.int64), np.uint32(1))
         self.used = True
 
     def parts(self) -> tuple[pa.Array, pa.Array]:

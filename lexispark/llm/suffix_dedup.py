@@ -13,9 +13,9 @@ bring together the places that could match:
     which places occur more than ``PLACE_LIMIT`` times; they are salted by
     their cores before they meet.
 3.  Shards get the bytes around those places, ordered by place, ``HOT`` of a
-    place at most.  Their suffix array is induced, and windows that begin one
-    run of common prefixes of at least ``length`` bytes at different places are
-    repeated.
+    place at most.  Equal ones are one string, which stands for several places.
+    The strings' suffix array is induced, and windows that begin one run of
+    common prefixes of at least ``length`` bytes at different places are repeated.
 4.  Where the surroundings of one place are in several shards, the windows
     left over in each, and one of each run, are matched over all shards by
     their hashes (XXH3).
@@ -380,8 +380,11 @@ _LETTER = np.zeros(256, dtype=np.uint8)
 _LETTER[[b for b in range(256) if b not in (0xC0, 0xC1) and b < 0xF5]] = np.arange(1 + SEPARATORS, 256)
 
 
-def repeated_in_shard(regions: list[bytes], cls: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Region and begin (within it) of the windows that also begin elsewhere in the shard, and the run they are in."""
+def repeated_in_shard(regions: list[bytes], cls: np.ndarray, start: np.ndarray, length: int, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Region and begin (within it) of the windows that also begin elsewhere in the shard, and the run they are in.
+
+    ``cls`` and ``start`` tell where a region is; of a region with ``copies`` above 1, where one of them is.
+    """
     sizes = np.array([len(r) for r in regions], dtype=np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])
     t = np.append(_LETTER[np.frombuffer(b"\xff".join(regions) + b"\xff", dtype=np.uint8)], np.uint8(0))
@@ -389,20 +392,33 @@ def repeated_in_shard(regions: list[bytes], cls: np.ndarray, start: np.ndarray,
     sa = suffix_array(t)
     _, lcp = permuted_lcp(t, sa, begins[:-1], int(sizes.max()) + length)
     run = np.cumsum(lcp[sa] < length)
-    region = np.minimum(np.searchsorted(begins, sa, side="right") - 1, len(regions) - 1)
+    # the suffixes that begin with a window, and aren't alone in their run
+    windows = np.maximum(0, sizes - length + 1)
+    begin = np.zeros(len(t), dtype=bool)
+    begin[np.repeat(begins[:-1], windows) + ranges(windows)] = True
+    ok = begin[sa]
+    sa, run = sa[ok], run[ok]
+    region = np.repeat(np.arange(len(regions), dtype=np.int32), sizes + 1)[sa]
+    same = run[1:] == run[:-1]
+    some = np.zeros(len(run), dtype=bool)
+    some[1:] |= same
+    some[:-1] |= same
+    if copies is not None:
+        some |= copies[region] > 1
+    sa, run, region = sa[some], run[some], region[some]
     inside = sa - begins[region]
-    ok = inside + length <= sizes[region]
-    run, region, inside = run[ok], region[ok], inside[ok]
     if not len(run):
         return region, inside, run
     # a run is a repeat if its windows begin at two places of the corpus at least
     place = start[region] + inside
     order = np.lexsort((place, cls[region], run))
     r, c, p = run[order], cls[region][order], place[order]
-    new = np.ones(len(r), dtype=bool)
+    new = np.ones(len(r), dtype=np.int64)
     new[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1]) | (p[1:] != p[:-1])
+    if copies is not None:
+        new += copies[region][order] - 1
     at = segments(r)
-    many = np.repeat(np.add.reduceat(new.astype(np.int64), at[:-1]) > 1, np.diff(at))
+    many = np.repeat(np.add.reduceat(new, at[:-1]) > 1, np.diff(at))
     return region[order][many], inside[order][many], r[many]
 
 
@@ -444,16 +460,21 @@ def _compared(around: DataFrame, length: int, n_shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words.release()
-        held, size, last = [], 0, None
+        # equal regions are one, in several places
+        held: dict[tuple, list] = {}
+        size, last = 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            cls = np.array([x[0] for x in held], dtype=np.int64)
-            start = np.array([x[1] for x in held], dtype=np.int64)
-            apart = np.array([x[2] for x in held], dtype=bool)
-            regions = [x[3] for x in held]
+            regions, apart = [d for d, _ in held], np.array([a for _, a in held], dtype=bool)
+            members = [sorted(set(x)) for x in held.values()]
             held.clear()
-            region, inside, runs = repeated_in_shard(regions, cls, start, length)
-            c, s, e = _stretches(cls[region], start[region] + inside, length)
+            copies = np.array([len(x) for x in members], dtype=np.int64)
+            cls, start = (np.array([x[0][k] for x in members], dtype=np.int64) for k in range(2))
+            region, inside, runs = repeated_in_shard(regions, cls, start, length, copies)
+            r, s, e = _stretches(region, inside, length)
+            n = copies[r]
+            c, at = (np.array([x[k] for j in r.tolist() for x in members[j]], dtype=np.int64) for k in range(2))
+            s, e = np.repeat(s, n) + at, np.repeat(e, n) + at
             yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.nulls(len(c), pa.int32()), pa.nulls(len(c), pa.binary())], names=names)
             if not apart.any():
                 return
@@ -472,8 +493,10 @@ def _compared(around: DataFrame, length: int, n_shards: int) -> DataFrame:
                 if size > SHARD_BYTES and h[k] != last:
                     yield from flush()
                     size = 0
-                held.append((cls[k], start[k], apart[k], data[k]))
-                size += len(data[k])
+                own = held.setdefault((data[k], apart[k]), [])
+                if not own:
+                    size += len(data[k])
+                own.append((cls[k], start[k]))
                 last = h[k]
         if held:
             yield from flush()
