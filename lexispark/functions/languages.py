@@ -126,6 +126,20 @@ def language_from_code(code: str) -> Language:
     return LANGUAGES[code] if len(parts) == 1 else multi(*(LANGUAGES[p] for p in parts))
 
 
+def raw_words(df: DataFrame, language: Language, text: str) -> DataFrame:
+    """(raw) of every token, without starts; of several languages, as each has them."""
+    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    out = None
+    for part in language.parts:
+        if part.script:
+            units = df.select(F.explode(part.units(lowered)).alias("_unit"))
+            raws = units.select(F.explode(part.tokens_of(F.col("_unit"))).alias("_token")).select(F.col("_token.term").alias("raw"))
+        else:
+            raws = df.select(F.explode(F.split(lowered, rf"[{_BLANKS}-]", -1)).alias("raw"))
+        out = raws if out is None else out.unionByName(raws)
+    return out
+
+
 def explode_tokens(df: DataFrame, language: Language, text: str, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """(*keys, *keep, ord, raw, start, length) of every token of ``text``; one row
     with a null ``raw`` for a text without any, so that no key is lost.

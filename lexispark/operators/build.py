@@ -1,8 +1,8 @@
 """Index construction: documents to postings, vocabulary and field lengths.
 
-One exchange by (document, field) serves token starts, term frequencies and
-field lengths; a second, by term, serves document frequencies.  Words are
-stemmed once per document and field, after counting.
+The vocabulary comes first: every distinct word is trimmed and stemmed once.
+Then one exchange of whole texts by (document, field) serves token starts, term
+frequencies and field lengths; a second, by term, serves document frequencies.
 """
 
 from __future__ import annotations
@@ -10,13 +10,18 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.languages import ENGLISH, Language, explode_tokens
+from ..functions.languages import _BLANKS, ENGLISH, Language, explode_tokens, raw_words
 from ..functions.weights import bm25_weight, idf
 from ..sources.staging import staged
 
+#: Bytes of a vocabulary up to which all of it is broadcast.
+VOCABULARY_BYTES = 32 << 20
+
+_SPOT = "start:int,length:int"
+
 
 @dataclass
 class Index:
@@ -118,31 +123,63 @@ class _Build:
         pairs = F.array(*[F.struct(F.lit(f).alias("field"), (F.col(f) if f in self.docs.columns else F.lit(None)).cast("string").alias("text")) for f in c.fields])
         return self.docs.select(F.col(c.ref).cast("string").alias("doc_ref"), boost.alias("doc_boost"), F.explode(pairs).alias("_f")).select("doc_ref", "doc_boost", "_f.field", "_f.text")
 
+    def tokens(self, texts: DataFrame) -> DataFrame:
+        """(doc_ref, field, doc_boost, raw[, ord, start, length]) of all tokens; a null ``raw`` for a text without any."""
+        language, keys = self.config.language, ["doc_ref", "field"]
+        if not self.positions and len(language.parts) == 1 and not language.script:
+            # no starts: words by splitting alone
+            return texts.select(*keys, "doc_boost", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), rf"[{_BLANKS}-]", -1)).alias("raw"))
+        return explode_tokens(texts, language, "text", keys, ("doc_boost",))
+
     @cached_property
-    def counted(self) -> DataFrame:
-        """(doc_ref, field, doc_boost, term, tf, positions); a null term counts what was left out."""
+    def vocabulary(self) -> tuple[DataFrame, bool]:
+        """(raw, term) of raw words, small enough to be broadcast, and whether these are all.
+
+        Every distinct word is trimmed and stemmed once; a null term is left out of the index.
+        Of a vocabulary beyond ``VOCABULARY_BYTES`` the most frequent words are kept.
+        """
         language = self.config.language
-        # the boost isn't a key: doubles are normalised in keys, which would cost the tokens' partitioning
-        keys, boost = ["doc_ref", "field"], F.first("doc_boost").alias("doc_boost")
-        simple = not self.positions and len(language.parts) == 1 and not language.script
-        if simple:  # no starts: words by splitting alone
-            from ..functions.languages import _BLANKS
-
-            tokens = self.texts.select(*keys, "doc_boost", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), rf"[{_BLANKS}-]", -1)).alias("raw"))
-            spot = F.lit(None).cast("struct<ord:int,start:int,length:int>")
-        else:
-            tokens = explode_tokens(self.texts, language, "text", keys, ("doc_boost",))
-            spot = F.struct("ord", "start", "length")
-        trimmed = tokens.withColumn("term", language.trim(F.coalesce("raw", F.lit(""))))
-        kept = (F.col("term") != "") & ~language.is_stop_word(F.col("term"))
-        trimmed = trimmed.withColumn("term", F.when(kept, F.col("term")))
-        spots = F.collect_list(spot) if self.positions else F.lit(None).cast("array<struct<start:int,length:int>>")
-        words = trimmed.groupBy(*keys, "term").agg(F.count("*").alias("tf"), boost, (spots if self.positions else F.first(spots)).alias("spots"))
-        stemmed = language.stemmed(words, "term")
-        if any(p.stems for p in language.parts):
-            stemmed = stemmed.groupBy(*keys, "term").agg(F.sum("tf").alias("tf"), boost, (F.flatten(F.collect_list("spots")) if self.positions else F.first("spots")).alias("spots"))
-        spots = F.transform(F.array_sort("spots"), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))) if self.positions else F.col("spots")
-        return stemmed.select(*keys, "doc_boost", "term", "tf", spots.alias("positions"))
+        raws = raw_words(self.texts, language, "text").groupBy("raw").agg(F.count("*").alias("n"))
+        words = staged(language.stemmed(raws.select("raw", "n", *_terms(language, F.col("raw"))), "term"))
+        size = (F.octet_length("raw") + F.coalesce(F.octet_length("term"), F.lit(0)) + 48).cast("long")
+        total = words.agg(F.sum(size)).first()[0] or 0
+        if total <= VOCABULARY_BYTES:
+            return words.select("raw", "term"), True
+        # a row for each doubling of the count
+        bins = words.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.min("n").alias("n"), F.sum(size).alias("size")).collect()
+        least, held = None, 0
+        for r in sorted(bins, key=lambda r: -r["b"]):
+            held += r["size"]
+            if held > VOCABULARY_BYTES:
+                break
+            least = r["n"]
+        return words.where(F.col("n") >= least if least is not None else F.lit(False)).select("raw", "term"), False
+
+    @cached_property
+    def counted(self) -> DataFrame:
+        """(doc_ref, field, doc_boost, term, tf, length, positions); a null term counts what was left out."""
+        language, keys = self.config.language, ["doc_ref", "field"]
+        known, complete = self.vocabulary
+        # whole texts are exchanged once, before they become many rows; all that follows stays where it is
+        n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tokens = self.tokens(self.texts.repartition(n, *keys))
+        named = tokens.join(F.broadcast(known.withColumn("_known", F.lit(True))), "raw", "left")
+        if not complete:  # the others are trimmed and stemmed where they are
+            rare = F.when(F.col("_known").isNull(), F.col("raw"))
+            named = language.stemmed(named.withColumn("_term", F.col("term")).drop("term").select("*", *_terms(language, rare)), "term")
+            named = named.withColumn("term", F.coalesce("_term", "term"))
+        spots = F.first(F.lit(None).cast(f"array<struct<ord:int,{_SPOT}>>"))
+        # the boost isn't a key: doubles are normalised in keys, which would cost the partitioning
+        # tokens are in order of their documents already, which the window relies on
+        length = F.count("term").over(Window.partitionBy(*keys))
+        first = [F.first(c).alias(c) for c in ("doc_boost", "length")]
+        found = named.withColumn("length" if not self.positions else "_length", length)
+        if self.positions:
+            found = found.withColumnsRenamed({"length": "_size", "_length": "length"})
+            spots = F.collect_list(F.struct("ord", "start", F.col("_size").alias("length")))
+        found = found.groupBy(*keys, "term").agg(F.count("*").alias("tf"), *first, spots.alias("spots"))
+        spots = F.transform(F.array_sort("spots"), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+        return found.select(*keys, "doc_boost", "term", "tf", "length", spots.alias("positions"))
 
     @cached_property
     def index(self) -> Index:
@@ -150,16 +187,22 @@ class _Build:
         return weighed(self.config, staged(self.counted))
 
 
+def _terms(language: Language, raw: Column) -> list[Column]:
+    """``term``: a raw word without marks at its edges; null if it is empty or a stop word."""
+    term = language.trim(F.coalesce(raw, F.lit("")))
+    return [F.when((term != "") & ~language.is_stop_word(term), term).alias("term")]
+
+
 def weighed(config: IndexBuilder, counted: DataFrame) -> Index:
     """An index from counted terms: lengths, document frequencies and weights."""
-    lengths = counted.groupBy("doc_ref", "field").agg(F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))), F.lit(0)).alias("length"))
+    lengths = counted.groupBy("doc_ref", "field").agg(F.max("length").alias("length"))
     terms = counted.where(F.col("term").isNotNull())
     vocab = terms.groupBy("term").agg(F.count("*").alias("df"))
     # a row per field: how long it is on average, over all documents
     stats = lengths.groupBy("field").agg(F.sum("length").alias("total"), F.count("*").alias("n_docs"))
     stats = stats.select("field", "n_docs", (F.col("total") / F.col("n_docs")).alias("average"))
     boosts = F.create_map(*[x for f, v in config.fields.items() for x in (F.lit(f), F.lit(v))])
-    rows = terms.join(lengths, ["doc_ref", "field"]).join(F.broadcast(stats), "field").join(vocab, "term")
+    rows = terms.join(F.broadcast(stats), "field").join(vocab, "term")
     weight = bm25_weight(idf(F.col("n_docs"), F.col("df")), F.col("tf"), F.col("length"), F.col("average"), config.k1_, config.b_, F.element_at(boosts, F.col("field")), F.col("doc_boost"))
     postings = rows.select("term", "field", "doc_ref", "tf", weight.alias("weight"), "positions")
     return Index(postings, vocab, lengths, tuple(config.fields), config.language, stats)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,17 +19,33 @@ def staging_folder(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    if not _own:  # a session without a shared folder, as in tests
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _own:  # a local session without a shared folder, as in tests
         _own.append("file://" + tempfile.mkdtemp(prefix="lexispark-"))
     return _own[0]
 
 
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Plans made within don't fuse operators into methods that the JVM won't compile: the
+    stemmer's steps run three times as fast apart."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` as a table: computed once, whatever reads it, and no deeper plan."""
     spark = df.sparkSession
     path = f"{staging_folder(spark)}/staged-{uuid.uuid4().hex}"
     _made.append((spark, path))
-    df.write.parquet(path)
+    with small_methods(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
