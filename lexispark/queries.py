@@ -200,18 +200,18 @@ def _search(name: str, query, clauses: list[tuple], negated: bool = False, index
 @_query(
     "tokenize_positions",
     rf"""
-WITH s AS (SELECT item_id, string_split_regex(lower(coalesce(text, '')), '{_SPLIT}') AS ws FROM benchmark),
-u AS (SELECT item_id, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) AS k FROM s),
-p AS (SELECT item_id, term, k, coalesce(sum(length(term) + 1) OVER (PARTITION BY item_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u)
-SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY k) - 1)::INTEGER AS idx, term, start::INTEGER AS start, length(term)::INTEGER AS length FROM p WHERE term <> ''
+WITH s AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '{_SPLIT}') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) AS k FROM s),
+p AS (SELECT doc_id, term, k, coalesce(sum(length(term) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS idx, term, start::INTEGER AS start, length(term)::INTEGER AS length FROM p WHERE term <> ''
 """,
 )
 def tokenize_positions(spark, sf_dir):
     from pyspark.sql import Window
 
-    tokens = explode_tokens(_read(spark, sf_dir, "benchmark"), ENGLISH, "text", ["item_id"]).where("raw is not null")
-    at = F.row_number().over(Window.partitionBy("item_id").orderBy("ord")) - 1
-    return tokens.select("item_id", at.cast("int").alias("idx"), F.col("raw").alias("term"), "start", "length")
+    tokens = explode_tokens(_read(spark, sf_dir, "documents"), ENGLISH, "text", ["doc_id"]).where("raw is not null")
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
+    return tokens.select("doc_id", at.cast("int").alias("idx"), F.col("raw").alias("term"), "start", "length")
 
 
 def _words(spark, sf_dir):
@@ -288,6 +288,10 @@ _search(
     lambda ix: Query(ix.fields).clause(Clause("licen", wildcard=Wildcard.TRAILING, boost=2.0)).clause(Clause("right", fields=("text",), presence=Presence.REQUIRED, use_pipeline=False)),
     [("optional", 2, None, "term LIKE 'licen%'", 1), ("required", 1, ("text",), "term = 'right'", 1)],
 )
+_search("search_leading_wildcard", lambda ix: Query(ix.fields).clause(Clause("cens", wildcard=Wildcard.LEADING)), [(*_ANY, "term LIKE '%cens'", 1)])
+_search("search_both_wildcards", lambda ix: Query(ix.fields).clause(Clause("cens", wildcard=Wildcard.BOTH)), [(*_ANY, "term LIKE '%cens%'", "(len(string_split(v.term, 'cens')) - 1)")])
+_search("search_wildcard_beats_edits", "licen*~2", [(*_ANY, "term LIKE 'licen%'", 1)])
+_search("search_empty", "", [(*_ANY, "false", 1)])
 _search("search_parts", "+p_type:medium ring", [("required", 1, ("p_type",), _word("medium"), 1), (*_ANY, _word("ring"), 1)], index=parts_index, base=_PARTS, fields=("p_name", "p_type"))
 
 
@@ -315,47 +319,73 @@ def search_many_topk(spark, sf_dir):
     return _rounded(documents_index(spark, sf_dir).search_many(_MANY, 10))
 
 
-@_query(
-    "match_positions",
-    rf"""{_DOCS},
+_POSITIONS_SQL = rf"""{_DOCS},
 s AS (SELECT doc_ref, field, string_split_regex(lower(txt), '{_SPLIT}') AS ws FROM fld),
 u AS (SELECT doc_ref, field, unnest(ws) AS raw, unnest(range(1, len(ws) + 1)) AS k FROM s),
 p AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_ref, field ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u)
 SELECT p.doc_ref AS ref, st.stem AS term, p.field, p.start::INTEGER AS start, length(p.raw)::INTEGER AS length
-FROM p JOIN stems st ON regexp_replace(p.raw, '{_EDGE}', '', 'g') = st.word
+FROM p JOIN stems st ON regexp_replace(p.raw, '{_EDGE}', '', 'g') = st.word"""
+
+
+@_query(
+    "match_positions",
+    rf"""{_POSITIONS_SQL}
 WHERE st.stem IN (SELECT stem FROM stems WHERE word IN ('license', 'rights'))
   AND EXISTS (SELECT 1 FROM postings q WHERE q.doc_ref = p.doc_ref AND q.field = p.field AND q.weight <> 0
     AND q.term IN (SELECT stem FROM stems WHERE word IN ('license', 'rights')))""",
 )
 def match_positions(spark, sf_dir):
-    found = documents_index(spark, sf_dir).search("license rights", matches=True)
+    return _positions(documents_index(spark, sf_dir).search("license rights", matches=True))
+
+
+def _positions(found: DataFrame) -> DataFrame:
     terms = found.select("ref", F.explode("terms").alias("term", "fields"))
     fields = terms.select("ref", "term", F.explode("fields").alias("field", "positions"))
     return fields.select("ref", "term", "field", F.inline("positions"))
 
 
+@_query(
+    "match_positions_twice",
+    f"{_POSITIONS_SQL} CROSS JOIN (VALUES (1), (2)) AS twice(k) WHERE st.stem = (SELECT stem FROM stems WHERE word = 'license')",
+)
+def match_positions_twice(spark, sf_dir):
+    """A term that two clauses hit lists its positions twice."""
+    return _positions(documents_index(spark, sf_dir).search("license license", matches=True))
+
+
 # ---- scripts ----
 
-_SAMPLES = (("1", "中文文档，用于测试搜索 rust-lang Engine!"), ("2", "日本語のドキュメント検索 test"), ("3", "한국어 문서 검색 한中 end"), ("4", "plain words only"))
+_SAMPLES = (("a1", "中文文档，用于测试搜索 rust-lang Engine!"), ("a2", "日本語のドキュメント検索 test"), ("a3", "한국어 문서 검색 한中 end"), ("a4", "plain words only"))
+
+
+def _with_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text) of all documents, which have no such scripts, and of a few texts that do."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return docs.unionByName(spark.createDataFrame(_SAMPLES, "id string, text string"))
+
+
+_SAMPLES_SQL = f"""d(id, text) AS (SELECT doc_id::VARCHAR, coalesce(text, '') FROM documents
+  UNION ALL VALUES {", ".join(f"('{k}', '{t}')" for k, t in _SAMPLES)}),
+ch AS (SELECT id, unnest(range(1, length(t) + 1)) AS k, unnest(string_split(t, '')) AS a FROM (SELECT id, lower(text) AS t FROM d) WHERE t <> '')"""
+
+
+def _script_sql(name: str, script: str) -> str:
+    """CTEs that end in {name}(id, start, length, term), of the characters in ``ch``."""
+    return rf"""
+x_{name} AS (SELECT id, k, a, regexp_matches(a, '[{script}]') AS s, regexp_matches(a, '{_SPLIT}') AS sep FROM ch),
+n_{name} AS (SELECT *, lead(s) OVER (PARTITION BY id ORDER BY k) AS s2, lead(a) OVER (PARTITION BY id ORDER BY k) AS a2,
+  k - row_number() OVER (PARTITION BY id, NOT s AND NOT sep ORDER BY k) AS run FROM x_{name}),
+{name} AS (SELECT id, (k - 1)::INTEGER AS start, 1 AS length, a AS term FROM n_{name} WHERE s
+  UNION ALL SELECT id, (k - 1)::INTEGER, 2, a || a2 FROM n_{name} WHERE s AND s2
+  UNION ALL SELECT id, (min(k) - 1)::INTEGER, count(*)::INTEGER, string_agg(a, '' ORDER BY k) FROM n_{name} WHERE NOT s AND NOT sep GROUP BY id, run)"""
 
 
 def _script_tokens(name: str, language, script: str) -> None:
-    values = ", ".join(f"('{k}', '{t}')" for k, t in _SAMPLES)
-    oracle = rf"""
-WITH d(id, text) AS (VALUES {values}),
-c AS (SELECT id, lower(text) AS t FROM d),
-ch AS (SELECT id, unnest(range(1, length(t) + 1)) AS k, t FROM c),
-x AS (SELECT id, k, substr(t, k, 1) AS a, regexp_matches(substr(t, k, 1), '[{script}]') AS s, regexp_matches(substr(t, k, 1), '[ \t\n-]') AS sep FROM ch),
-n AS (SELECT *, lead(s) OVER (PARTITION BY id ORDER BY k) AS s2, lead(a) OVER (PARTITION BY id ORDER BY k) AS a2,
-  k - row_number() OVER (PARTITION BY id, NOT s AND NOT sep ORDER BY k) AS run FROM x)
-SELECT id, (k - 1)::INTEGER AS start, 1 AS length, a AS term FROM n WHERE s
-UNION ALL SELECT id, (k - 1)::INTEGER, 2, a || a2 FROM n WHERE s AND s2
-UNION ALL SELECT id, (min(k) - 1)::INTEGER, count(*)::INTEGER, string_agg(a, '' ORDER BY k) FROM n WHERE NOT s AND NOT sep GROUP BY id, run
-"""
+    oracle = f"WITH {_SAMPLES_SQL},{_script_sql('own', script)} SELECT id, start, length, term FROM own"
 
     def run(spark, sf_dir):
-        docs = spark.createDataFrame(_SAMPLES, "id string, text string")
-        return explode_tokens(docs, language, "text", ["id"]).where("raw is not null").select("id", "start", "length", F.col("raw").alias("term"))
+        tokens = explode_tokens(_with_samples(spark, sf_dir), language, "text", ["id"])
+        return tokens.where("raw is not null").select("id", "start", "length", F.col("raw").alias("term"))
 
     _query(name, oracle)(run)
 
@@ -370,11 +400,32 @@ _script_tokens("tokens_ja", JAPANESE, _RE2["han"] + _RE2["kana"])
 _script_tokens("tokens_ko", KOREAN, _RE2["hangul"] + _RE2["han"])
 
 
-@_query("search_scripts")
+_ASKED_SCRIPTS = {"zh": ("中文", ("中", "文", "中文")), "ja": ("検索", ("検", "索", "検索")), "ko": ("한국어", ("한국어", "한", "국", "어", "한국", "국어")), "en": ("engine", ("engin",))}
+
+
+def _scripts_sql() -> str:
+    """Several languages at once: each raw term once a text, trimmed unless it begins with a script, then stems."""
+    cjk = "".join(_RE2.values())
+    raws = f"""{_SAMPLES_SQL},{_script_sql('zh', _RE2['han'])},{_script_sql('ja', _RE2['han'] + _RE2['kana'])},{_script_sql('ko', _RE2['hangul'] + _RE2['han'])},
+raws AS (SELECT id, term FROM zh UNION SELECT id, term FROM ja UNION SELECT id, term FROM ko
+  UNION SELECT id, unnest(string_split_regex(lower(text), '{_SPLIT}')) FROM d),
+fld AS (SELECT id AS doc_ref, 1.0::DOUBLE AS boost, 'text' AS field, 1.0::DOUBLE AS fboost, '' AS txt FROM d),"""
+    index = _index_sql(raws)
+    start, end = index.index("cut AS ("), index.index("kept AS (")
+    trim = f"CASE WHEN regexp_matches(term, '^[{cjk}]') THEN term ELSE regexp_replace(term, '{_EDGE}', '', 'g') END"
+    index = index[:start] + f"cut AS (SELECT id AS doc_ref, 'text' AS field, {trim} AS word FROM raws),\n" + index[end:]
+    asked = ", ".join(f"('{q}', '{t}')" for q, (_, terms) in _ASKED_SCRIPTS.items() for t in terms)
+    return f"""{index},
+asked AS (SELECT q, term FROM (VALUES {asked}) AS a(q, term) JOIN vocab USING (term)),
+norms AS (SELECT q, sqrt(count(*)) AS norm FROM asked GROUP BY q),
+scores AS (SELECT a.q, p.doc_ref, sum(p.weight) / any_value(n.norm) AS score FROM asked a JOIN postings p ON a.term = p.term JOIN norms n ON a.q = n.q GROUP BY ALL)
+SELECT q AS query_id, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc_ref)::INTEGER AS rank, doc_ref AS ref, round(score, 6) AS score FROM scores WHERE score <> 0"""
+
+
+@_query("search_scripts", _scripts_sql())
 def search_scripts(spark, sf_dir):
-    docs = spark.createDataFrame(_SAMPLES, "id string, text string")
-    ix = IndexBuilder(multi(CHINESE, JAPANESE, KOREAN, ENGLISH)).field("text").build(docs)
-    return _rounded(ix.search_many({"zh": "中文", "ja": "検索", "ko": "한국어", "en": "engine"}))
+    ix = _kept(spark, (sf_dir, "scripts"), lambda: IndexBuilder(multi(CHINESE, JAPANESE, KOREAN, ENGLISH)).field("text").build(_with_samples(spark, sf_dir), positions=False))
+    return _rounded(ix.search_many({k: q for k, (q, _) in _ASKED_SCRIPTS.items()}))
 
 
 # ---- vectors ----
@@ -399,7 +450,18 @@ def vector_functions(spark, sf_dir):
 # ---- sources and sinks ----
 
 
-@_query("json_round_trip")
+_BENCHMARK = _index_sql("""
+fld AS (SELECT item_id::VARCHAR AS doc_ref, 1.0::DOUBLE AS boost, 'text' AS field, 1.0::DOUBLE AS fboost, coalesce(text, '') AS txt FROM benchmark),""")
+
+
+@_query(
+    "json_round_trip",
+    f"""{_BENCHMARK},
+asked AS (SELECT term FROM vocab WHERE term LIKE 't%'),
+scores AS (SELECT 'a' AS q, doc_ref, sum(weight) / (SELECT sqrt(count(*)) FROM asked) AS score FROM postings WHERE term IN (SELECT term FROM asked) GROUP BY doc_ref
+  UNION ALL SELECT 'b', doc_ref, 0 FROM lens WHERE length > 0)
+SELECT q AS query_id, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc_ref)::INTEGER AS rank, doc_ref AS ref, round(score, 6) AS score FROM scores WHERE q = 'b' OR score <> 0""",
+)
 def json_round_trip(spark, sf_dir):
     from .sources.index_io import from_json, to_json
 
@@ -407,6 +469,28 @@ def json_round_trip(spark, sf_dir):
     return _rounded(from_json(spark, to_json(ix)).search_many({"a": "t*", "b": "-zzz"}))
 
 
+_PRESET = _index_sql("""
+doc AS (SELECT doc_id::VARCHAR AS doc_ref, coalesce(text, '') AS text FROM documents),
+fld AS (SELECT doc_ref, 1.0::DOUBLE AS boost, 'title' AS field, 1.0::DOUBLE AS fboost, split_part(text, chr(10), 1) AS txt FROM doc
+  UNION ALL SELECT doc_ref, 1.0::DOUBLE, 'text', 1.0::DOUBLE, text FROM doc),""")
+
+
+@_query("json_documents", _search_sql(_PRESET, [(*_ANY, _word("license"), 1), ("prohibited", 1, None, _word("general"), 1)]))
+def json_documents(spark, sf_dir):
+    """Documents written and read as JSON, the preset index of them, and results as JSON texts, parsed again."""
+    import uuid
+
+    from .sources.index_io import build_documents, read_documents, results_json
+    from .sources.staging import staging_folder
+
+    path = f"{staging_folder(spark)}/documents-{uuid.uuid4().hex}"
+    docs = _read(spark, sf_dir, "documents")
+    docs.select(F.col("doc_id").cast("string").alias("location"), F.substring_index("text", "\n", 1).alias("title"), "text").write.json(path)
+    ix = _kept(spark, (sf_dir, "preset"), lambda: build_documents(read_documents(spark, path, lines=True)))
+    out = results_json(ix.search("license -general"))
+    return _rounded(out.select(F.from_json("result", "ref string, score double").alias("r")).select("r.ref", "r.score"))
+
+
 @_query("parquet_round_trip", _search_sql(_PARTS, [(*_ANY, _word("medium"), 1)], ("p_name", "p_type")))
 def parquet_round_trip(spark, sf_dir):
     import uuid

@@ -92,7 +92,10 @@ def from_json(spark: SparkSession, text: str, language: str | Language | None =
                 continue
             for ref, meta in docs.items():
                 spots = [(int(a), int(b)) for a, b in meta.get("position", [])]
-                rows.append((term, field, ref, len(spots), weights.get((ref, field, own["_index"]), 0.0), spots))
+                weight = weights.get((ref, field, own["_index"]))
+                if weight is None:
+                    raise ValueError(f"no weight of term {term!r} in {ref}/{field}: vectors are named by ref, then field")
+                rows.append((term, field, ref, len(spots), weight, spots))
                 df[term] = df.get(term, 0) + 1
     postings = spark.createDataFrame(rows, f"term string, field string, doc_ref string, tf long, weight double, positions {_POSITIONS}")
     vocab = spark.createDataFrame(list(df.items()), "term string, df long")
@@ -100,9 +103,9 @@ def from_json(spark: SparkSession, text: str, language: str | Language | None =
     return Index(postings, vocab, lengths, tuple(j["fields"]), lang)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a JSON array or JSON lines file: location, title, text, boost."""
-    return spark.read.schema("location string, title string, text string, boost double").option("multiLine", True).json(path)
+def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Documents of JSON arrays, or of JSON ``lines`` (which are split over tasks): location, title, text, boost."""
+    return spark.read.schema("location string, title string, text string, boost double").option("multiLine", not lines).json(path)
 
 
 def build_documents(docs: DataFrame, language: str = "en", boost: str = "boost") -> Index:

@@ -6,6 +6,9 @@ import re
 import pytest
 
 from lexispark import CHINESE, ENGLISH, JAPANESE, KOREAN, IndexBuilder, multi
+from lexispark.functions.languages import Language
+from lexispark.operators import build as build_module
+from lexispark.operators import search as search_module
 from lexispark.sources.index_io import build_documents, from_json, load, read_documents, results_json, save, to_json
 
 PAGES = [
@@ -141,3 +144,53 @@ def test_scores_against_brute_force(spark, seed):
         query = rng.choices(words + ["zzz"], k=rng.randrange(1, 4))
         got = {r["ref"]: r["score"] for r in ix.search(" ".join(query)).collect()}
         assert got == pytest.approx(brute(docs, {"p": 4, "q": 1}, query), abs=2e-3)
+
+
+TEXTS = [(f"d{k:02d}", t) for k, t in enumerate(["running water", "run wild", "wool and water", "wild wolves wander", "iron wheel", "wheels of iron run", "", None])]
+
+
+def test_few_words_become_filters(spark, tmp_path):
+    ix = IndexBuilder().field("body").build(spark.createDataFrame(TEXTS, "id string, body string"))
+    save(ix, f"file://{tmp_path}/ix")
+    stored = load(spark, f"file://{tmp_path}/ix")
+    for q, terms in (("water", ["water"]), ("wo*", ["wolv", "wool"]), ("rum~1", ["run"]), ("*ate* -iron", ["iron", "water"])):
+        plan = stored.search(q)._jdf.queryExecution().executedPlan().toString()
+        scan = next(x for x in plan.split("\n") if "FileScan" in x and "weight" in x)
+        filters = scan[scan.index("PushedFilters") :]
+        assert all(t in filters for t in terms) and ("In(term" in filters or "EqualTo(term" in filters), q
+        assert "NestedLoop" not in plan
+
+
+def test_many_words_are_joined(spark, monkeypatch):
+    ix = IndexBuilder().field("body").build(spark.createDataFrame(TEXTS, "id string, body string")).cache()
+    queries = {"a": "water", "b": "w*", "c": "rum~1 +w*", "d": "-wil*", "e": "+zzz water", "f": "w*l* run^3", "g": "*"}
+    few = [tuple(r) for r in ix.search_many(queries).orderBy("query_id", "rank").collect()]
+    found = ix.search("w*l* run", matches=True).collect()
+    for name in ("EXPANDED", "ASKED"):
+        monkeypatch.setattr(search_module, name, 0)
+        many = [tuple(r) for r in ix.search_many(queries).orderBy("query_id", "rank").collect()]
+        assert [r[:3] for r in many] == [r[:3] for r in few] and [r[3] for r in many] == pytest.approx([r[3] for r in few])
+        assert [(r["ref"], r["terms"]) for r in ix.search("w*l* run", matches=True).collect()] == [(r["ref"], r["terms"]) for r in found]
+
+
+def test_words_belong_to_their_language(spark):
+    docs = spark.createDataFrame(TEXTS, "id string, body string")
+    plain = Language("en", stems=False, stop_words=frozenset())
+    assert IndexBuilder().field("body").build(docs).search("running").count() == 3
+    assert [r["ref"] for r in IndexBuilder(plain).field("body").build(docs).search("running").collect()] == ["d00"]
+
+
+def test_rare_words_beyond_the_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([*TEXTS, ("d90", "runs, running; RUNNING, the wheels wheel")], "id string, body string")
+    want = sorted(map(tuple, IndexBuilder().field("body").build(docs).postings.collect()))
+    for limit in (0, 150, 400):
+        monkeypatch.setattr(build_module, "VOCABULARY_BYTES", limit)
+        assert sorted(map(tuple, IndexBuilder().field("body").build(docs).postings.collect())) == want
+
+
+def test_json_without_weights_is_an_error(spark):
+    ix = IndexBuilder().field("body").build(spark.createDataFrame(TEXTS, "id string, body string"))
+    j = json.loads(to_json(ix))
+    j["fieldVectors"] = [["/".join(reversed(k.split("/"))), v] for k, v in j["fieldVectors"]]
+    with pytest.raises(ValueError):
+        from_json(spark, json.dumps(j))
