@@ -21,7 +21,7 @@ of its size.  Other columns are ignored, whatever their names, but those to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,15 +133,12 @@ def splitters(docs: DataFrame, n_ranges: int, n_shards: int, tolerance: float =
     return [g[0] for g in got], [g[1] for g in got]
 
 
-def placed(cuts: list[tuple[int, int]]):
-    """A function of (hash, d): the range they are in."""
+def placed(cuts: list[tuple[int, int]]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of the longs (hash, d): the range they are in."""
     hs, ds = np.array([h for h, _ in cuts], dtype=U64), np.array([d for _, d in cuts], dtype=U64)
 
-    @F.pandas_udf("int")
-    def place(hash_, d):
-        import pandas as pd
-
-        h, x = _unsigned(hash_.to_numpy().copy()), _unsigned(d.to_numpy().copy())
+    def place(hash_: np.ndarray, d: np.ndarray) -> np.ndarray:
+        h, x = _unsigned(hash_.astype(np.int64)), _unsigned(d.astype(np.int64))
         out = np.searchsorted(hs, h, side="left")
         # past boundaries of equal hash as long as d isn't below theirs
         while True:
@@ -149,7 +146,7 @@ def placed(cuts: list[tuple[int, int]]):
             at = np.minimum(out, max(0, len(hs) - 1))
             more = more & (hs[at] == h) & (ds[at] <= x) if len(hs) else more
             if not more.any():
-                return pd.Series(out.astype(np.int32))
+                return out.astype(np.int32)
             out = out + more
 
     return place
@@ -173,21 +170,28 @@ def shard(df: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "te
     n_ranges = n_shards * per
     cuts, below = splitters(docs, n_ranges, n_shards)
     below = [0, *below]
-    place = placed(cuts)
+    at = placed(cuts)
+
+    @F.pandas_udf("int")
+    def place(hash_, d):
+        import pandas as pd
+
+        return pd.Series(at(hash_.to_numpy(), d.to_numpy()))
+
     ranged = docs.withColumn("range", place("hash", "d")).repartitionById(n_ranges, F.col("range")).sortWithinPartitions("range", "hash", "d")
     kept = [f for f in docs.schema.fields if f.name in keep]
     names = ["key", "size", "text_crc32", *[f.name for f in kept], "shard", "slot"]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: dict[int, int] = {}
+        next_: dict[int, int] = {}
         for batch in batches:
             r = batch.column(batch.schema.get_field_index("range")).to_numpy()
             slot = np.empty(len(r), dtype=np.int64)
             for k in np.unique(r).tolist():
                 mine = np.flatnonzero(r == k)
-                first = at.get(k, below[k] - below[k // per * per])
+                first = next_.get(k, below[k] - below[k // per * per])
                 slot[mine] = first + np.arange(len(mine))
-                at[k] = first + len(mine)
+                next_[k] = first + len(mine)
             own = [batch.column(batch.schema.get_field_index(c)) for c in names[:-2]]
             yield pa.RecordBatch.from_arrays([*own, pa.array((r // per).astype(np.int32)), pa.array(slot)], names=names)
 

@@ -124,6 +124,7 @@ def write_token_files(df: DataFrame, path: str, folder: str | None = None, key:
         for batch in batches:
             buf, off = buffers(batch.column(2))
             raw, off = buf.tobytes(), off.tolist()
+            parts = batch.column(0) if place is None else pa.array(place(batch.column(3), batch.column(0).to_numpy()), pa.int32())
             done = 0
             while done < batch.num_rows:
                 out, size, first = [], 0, done
@@ -138,8 +139,9 @@ def write_token_files(df: DataFrame, path: str, folder: str | None = None, key:
                     out.append(ids)
                     size += len(ids)
                     done += 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, done - first), batch.column(1).slice(first, done - first), pa.array(out, pa.binary())], names=["part", "key", "ids"])
+                yield pa.RecordBatch.from_arrays([parts.slice(first, done - first), batch.column(1).slice(first, done - first), pa.array(out, pa.binary())], names=["part", "key", "ids"])
 
+    place = None
     row = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("key", key_type), T.StructField("ids", T.BinaryType())])
     own = F.col(key)
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
@@ -152,10 +154,14 @@ def write_token_files(df: DataFrame, path: str, folder: str | None = None, key:
         # of texts that share a key, too, no file gets more than its part
         cuts, _ = splitters(some, n_some, n_some, 0.02, 0.1)
         drop_table(rows)
-        at = placed(cuts)(F.coalesce(x, F.lit(0)), d)
-        if n_none:
-            at = F.when(own.isNull(), len(cuts) + 1 + F.pmod(d, F.lit(n_none))).otherwise(at)
-        encoded = df.select(at.cast("int").alias("part"), own.alias("key"), F.col(text).alias("text")).mapInArrow(encode, row)
+        among = placed(cuts)
+
+        def place(keys: pa.Array, d: np.ndarray) -> np.ndarray:
+            at = among(keys.fill_null(0).to_numpy(), d)
+            return np.where(keys.is_null(), len(cuts) + 1 + d % n_none, at) if n_none else at
+
+        # the range is found where the text is encoded: one worker does both
+        encoded = df.select(d.alias("part"), own.alias("key"), F.col(text).alias("text"), x.alias("x")).mapInArrow(encode, row)
         ranged = encoded.repartitionById(len(cuts) + 1 + n_none, F.col("part"))
     else:
         n_parts = partitions_for(spark, df.agg(F.sum(size)).first()[0] or 0, FILE_TEXT)
